@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from skarn.operators.catalog import entries, entry_groups
 from skarn.operators.hierarchy import cycle_links, link_forest
 from skarn.operators.units import common_units
-from skarn.sources.tables import newest, read_table
+from skarn.sources.tables import materialize, newest, read_table
 
 
 def p1_extents(spark: SparkSession, sf: str) -> DataFrame:
     """Every box and class in metres."""
-    catalog = entries(read_table(spark, sf, "catalog_entry").select("entry_id", "source", "path", "dedup_group_id", "dup_of", "notes", "scale_class", "aabb_extent_m", "ingested_at"))
+    catalog = materialize(entries(read_table(spark, sf, "catalog_entry").select("entry_id", "source", "path", "dedup_group_id", "dup_of", "notes", "scale_class", "aabb_extent_m", "ingested_at")), "catalog")
     return common_units(catalog, read_table(spark, sf, "source_ref"), entry_groups(catalog))
 
 
