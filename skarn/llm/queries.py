@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.names import name_key
-from skarn.llm import capping, overlap, robots, sample, splits, survivor, vendors
+from skarn.llm import capping, mixing, overlap, robots, sample, splits, survivor, tokens, vendors
 from skarn.operators.catalog import entries, entry_groups
 from skarn.operators.units import common_units
 from skarn.sources.tables import materialize, newest, read_table
@@ -128,7 +128,38 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_survivors(spark, sf).filter("dominant and members >= 2").select("group_entry_id", "entry_id")
 
 
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode_documents(read_table(spark, sf, "documents"))
+
+
+def _sized(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with their tokens, and the report on the sources of the mix."""
+    documents = read_table(spark, sf, "documents")
+    sized = materialize(tokens.count_tokens(documents, also=("source",)), "sized")
+    return sized, mixing.source_report(sized, read_table(spark, sf, "mix_target"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that cannot reach their weight."""
+    return _sized(spark, sf)[1].filter("not reachable").select("source")
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix: which documents stand where, how often."""
+    sized, report = _sized(spark, sf)
+    return mixing.mix_sources(sized, materialize(report, "report"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Actual shares of the sources in the mix."""
+    sized, report = _sized(spark, sf)
+    report = materialize(report, "report")
+    return mixing.share_report(mixing.mix_sources(sized, report), report)
+
+
 QUERIES = {
+    "p8_ids": p8_ids, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p4_found": p4_found, "p4_capped": p4_capped, "p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report, "p7_found": p7_found, "p7_survivors": p7_survivors,
     "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p3_found": p3_found, "p3_splits": p3_splits}
 
