@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.names import name_key
-from skarn.llm import capping, mixing, overlap, robots, sample, splits, survivor, tokens, vendors
+from skarn.llm import capping, mixing, overlap, reading, robots, sample, splits, survivor, tokens, vendors
 from skarn.operators.catalog import entries, entry_groups
 from skarn.operators.units import common_units
 from skarn.sources.tables import materialize, newest, read_table
@@ -158,7 +158,19 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.share_report(mixing.mix_sources(sized, report), report)
 
 
+def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Level and difficulty of every document."""
+    documents = read_table(spark, sf, "documents")
+    return reading.reading_levels(documents, reading.fit(documents, read_table(spark, sf, "reading_rating")))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of English prose for specialists."""
+    return p10_levels(spark, sf).filter("level = 'specialist'").select("doc_id")
+
+
 QUERIES = {
+    "p10_found": p10_found, "p10_levels": p10_levels,
     "p8_ids": p8_ids, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p4_found": p4_found, "p4_capped": p4_capped, "p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report, "p7_found": p7_found, "p7_survivors": p7_survivors,
     "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p3_found": p3_found, "p3_splits": p3_splits}
