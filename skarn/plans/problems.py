@@ -49,8 +49,8 @@ with recursive joint as (
   from (select example_id, unnest(joint_parents) as p, unnest(joint_children) as c from training_example)
   where p >= 0 and c >= 0),
 walk as (
-  select example_id, p as start, c as at from joint
+  select example_id, p as origin, c as place from joint
   union
-  select w.example_id, w.start, j.c from walk w join joint j on j.example_id = w.example_id and j.p = w.at)
-select distinct example_id, cast(start as integer) as link from walk where start = at""",
+  select w.example_id, w.origin, j.c from walk w join joint j on j.example_id = w.example_id and j.p = w.place)
+select distinct example_id, cast(origin as integer) as link from walk where origin = place""",
 }
