@@ -68,8 +68,8 @@ def split_key(c: Column) -> Column:
 
 def near(a: Column, b: Column) -> Column:
     """True where two words are the same but for one letter added, lost, changed or swapped
-    with its neighbour. Digits and short parts (v2, mk3, left) must agree: they tell models of
-    one family apart."""
+    with its neighbour. Parts with digits and parts of up to four letters (v2, mk3, left) must
+    agree: they tell models of one family apart."""
     short = lambda x: F.array_join(F.filter(F.split(x, "_"), lambda p: (F.length(p) <= 4) | p.rlike("[0-9]")), "_")
     letters = lambda x: F.array_join(F.array_sort(F.split(x, "")), "")
     d = F.levenshtein(a, b)

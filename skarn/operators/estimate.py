@@ -128,27 +128,25 @@ def clean_fragments(labels: list[int], edges: list[tuple[int, int]]) -> list[int
     for a, b in edges:
         near.setdefault(a, []).append(b)
         near.setdefault(b, []).append(a)
-    out, done = list(labels), set()
-    parts: dict[int, list[list[int]]] = {}
-    for f in range(len(labels)):
-        if f in done:
-            continue
-        part, todo = [], [f]
-        done.add(f)
-        while todo:
-            x = todo.pop()
-            part.append(x)
-            for y in near.get(x, ()):
-                if y not in done and labels[y] == labels[f]:
-                    done.add(y)
-                    todo.append(y)
-        parts.setdefault(labels[f], []).append(sorted(part))
-    for label in sorted(parts):
-        for part in sorted(parts[label], key=lambda p: (-len(p), p[0]))[1:]:
+    out = list(labels)
+    for label in sorted({x for x in labels if x >= 0}):
+        own = {f for f, x in enumerate(out) if x == label}  # as earlier labels left it
+        parts = []
+        while own:
+            todo = [min(own)]
+            own.discard(todo[0])
+            part = set(todo)
+            while todo:
+                more = [y for y in near.get(todo.pop(), ()) if y in own]
+                own.difference_update(more)
+                part.update(more)
+                todo += more
+            parts.append(part)
+        for part in sorted(parts, key=lambda p: (-len(p), min(p)))[1:]:
             count: dict[int, int] = {}
             for x in part:
                 for y in near.get(x, ()):
-                    if out[y] != label and y not in part:
+                    if y not in part and out[y] != label:
                         count[out[y]] = count.get(out[y], 0) + 1
             if count:
                 to = min(count, key=lambda k: (-count[k], k))

@@ -151,3 +151,41 @@ def cleaned_fragments(spark, sf):
     """Stray parts of labels given to their neighbours: parts of a supplier as faces."""
     li = read_table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg((F.min("l_linenumber") % 3).cast("int").alias("label"))
     return S.cleaned_labels(li, "l_suppkey", "l_partkey", "label")
+
+
+@query("""with f as (select l_suppkey as mesh, l_partkey as face, min(l_linenumber) as cluster, max(case when l_partkey % 11 = 0 then cast(l_partkey % 3 + 100 as integer) end) as usr from lineitem group by 1, 2),
+n as (select mesh, cluster, count(*) as n from f group by 1, 2), t as (select mesh, cluster, usr, count(*) as k, min(face) as ff from f where usr is not null group by 1, 2, 3),
+b as (select *, row_number() over (partition by mesh, cluster order by k desc, ff) as rn from t), s as (select f.*, coalesce(f.usr, case when b.k / n.n > 0.1 then b.usr end) as fixed from f join n using (mesh, cluster) left join b on b.mesh = f.mesh and b.cluster = f.cluster and b.rn = 1),
+r as (select mesh, cluster, row_number() over (partition by mesh order by min(face)) as rank from s where fixed is null group by 1, 2), m as (select mesh, coalesce(max(usr), -1) as base from f group by 1)
+select s.mesh, s.face, cast(coalesce(s.fixed, m.base + r.rank) as integer) as label from s join m using (mesh) left join r on r.mesh = s.mesh and r.cluster = s.cluster""")
+def merged_labels(spark, sf):
+    """User labels over predicted clusters."""
+    from skarn.operators.labels import merge_labels
+
+    li = read_table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("mesh"), F.col("l_partkey").alias("face")).agg(F.min("l_linenumber").alias("cluster"))
+    li = li.withColumn("user", F.when(F.col("face") % 11 == 0, (F.col("face") % 3 + 100).cast("int")))
+    return merge_labels(li, "mesh", "face", "cluster", "user", 0.1)
+
+
+@query("""select p_brand as g, count(*) as n, count(*) filter (p_size % 4 <> p_partkey % 4) as changed, count(distinct p_size % 4) as labels from part group by 1""")
+def label_changes(spark, sf):
+    """Rows whose label changed."""
+    from skarn.operators.labels import changed_labels
+
+    p = read_table(spark, sf, "part").select(F.col("p_brand").alias("g"), (F.col("p_size") % 4).alias("a"), (F.col("p_partkey") % 4).alias("b"))
+    return changed_labels(p, ["g"], "a", "b").select("g", F.col("rows").alias("n"), "changed", F.col("labels_before").alias("labels"))
+
+
+@query("""with c as (select string_split(path, '/')[1] || '/' || regexp_replace(list_extract(string_split(path, '/'), -1), '(.)\\.[^.]*$', '\\1') as name, path as new_name, dof, list_sort(joint_types) as types, coalesce(r.trust_rank, 99) as rank
+ from (select *, row_number() over (partition by entry_id order by ingested_at desc) as rn from catalog_entry) e left join source_ref r on r.source = e.source where rn = 1),
+o as (select name, min(new_name) as only, count(distinct new_name) as n from c group by 1), x as (select * from (select *, row_number() over (partition by name, dof, types order by rank, new_name) as rn from c) where rn = 1)
+select c.new_name as id, coalesce(case when o.n = 1 then o.only else x.new_name end, c.name) as name from c join o using (name) left join x on x.name = c.name and x.dof = c.dof and x.types = c.types""")
+def repaired_names(spark, sf):
+    """Older names resolved by degrees of freedom and joint types."""
+    from skarn.operators.names_repair import repair_names
+
+    e = newest(read_table(spark, sf, "catalog_entry").select("entry_id", "source", "path", "dof", "joint_types", "ingested_at"), "entry_id", "ingested_at")
+    p = F.split("path", "/")
+    c = e.select(F.col("path").alias("new_name"), F.concat_ws("/", p[0], F.regexp_replace(F.element_at(p, -1), r"(?<=.)\.[^.]*$", "")).alias("name"), "dof", "joint_types", "source")
+    ranks = read_table(spark, sf, "source_ref").select("source", F.col("trust_rank").alias("rank"))
+    return repair_names(c.withColumnRenamed("new_name", "id"), c, ranks).select("id", "name")
