@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions.names import name_key
+from skarn.functions.names import PLACEHOLDERS, name_key
 from skarn.llm import capping, mixing, overlap, reading, robots, sample, splits, survivor, tokens, vendors
 from skarn.operators.catalog import entries, entry_groups
 from skarn.operators.units import common_units
+from skarn.plans import sql as Q
 from skarn.sources.tables import materialize, newest, read_table
 
 
@@ -175,4 +176,27 @@ QUERIES = {
     "p4_found": p4_found, "p4_capped": p4_capped, "p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report, "p7_found": p7_found, "p7_survivors": p7_survivors,
     "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p3_found": p3_found, "p3_splits": p3_splits}
 
-ORACLES: dict[str, str] = {}
+_FILLED = " + ".join(
+    [f"cast(coalesce(trim(e.{c}) <> '', false) as integer)" for c in ("family", "vendor", "license", "fidelity_class", "scale_class")]
+    + [f"cast(e.{c} is not null as integer)" for c in ("total_mass", "mesh_bytes_total", "joint_range_total_rad")]
+    + ["cast(coalesce(len(e.aabb_extent_m) > 0, false) as integer)"]
+)
+_BARE = r"regexp_replace(lower(trim({})), '[\s,]+(" + vendors.LEGAL_FORMS + r")\.?$', '')"
+
+ORACLES: dict[str, str] = {
+    "p7_found": f"""{Q.GROUPS},
+v as (select grp.group_id, e.entry_id, coalesce(-r.t, -2147483647) as a, coalesce(e.meshes_resolved, -1) as b, {_FILLED} as c, coalesce(e.scanned_at, timestamp '0001-01-01') as d
+  from e join grp using (entry_id) left join (select {Q.name_key("source")} as k, min(trust_rank) as t from source_ref group by 1) r on r.k = {Q.name_key("e.source")}),
+m as (select group_id, max(a) as a, max(b) as b, max(c) as c, max(d) as d, count(*) as n from v group by 1),
+best as (select v.group_id, v.entry_id from v join m on v.group_id = m.group_id and v.a = m.a and v.b = m.b and v.c = m.c and v.d = m.d where m.n >= 2)
+select group_id as group_entry_id, min(entry_id) as entry_id from best group by 1 having count(*) = 1""",
+    "p4_found": f"""with names as (select vendor as v, unnest([vendor, full_name] || coalesce(aliases, []::varchar[])) as t from vendor_ref),
+keys as (select key, min(v) as v from (select distinct v, unnest([{Q.name_key("t")}, {Q.name_key(_BARE.format("t"))}]) as key from names) where key is not null group by 1 having count(distinct v) = 1),
+texts as (select distinct vendor as t from catalog_entry where lower(trim(vendor)) not in ('', {", ".join(repr(x) for x in PLACEHOLDERS)})),
+tried as (select distinct t, unnest([{Q.name_key("t")}, {Q.name_key(_BARE.format("t"))}]) as key from texts),
+exact as (select t, min(v) as v from tried join keys using (key) group by 1 having count(distinct v) = 1),
+close as (select x.t, min(k.v) as v from (select * from tried where t not in (select t from exact)) x join keys k on damerau_levenshtein(x.key, k.key) <= 1 and length(x.key) > 4 and length(k.key) > 4 and not regexp_matches(x.key || k.key, '[0-9]') group by 1 having count(distinct k.v) = 1),
+known as (select * from exact union all select * from close), e as (select entry_id, vendor from {Q.ENTRIES}),
+named as (select k.v as vendor, e.entry_id from e join known k on k.t = e.vendor)
+select vendor, entry_id from named where vendor in (select vendor from named group by 1 having count(*) > (select count(*) from e) * 50 // 1000)""",
+}
