@@ -343,3 +343,25 @@ def test_entry_without_llm():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_frames_and_json(spark):
+    from skarn.operators import frames
+
+    turn = [0.0, -1, 0, 1, 0, 0, 0, 0, 1]
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, turn, [1.0, 0, 0]) for i in range(9)] + [("own", "own", turn, [0.0] * 3), ("lost", "gone", turn, [5.0, 0, 0])]
+    got = {r.node: r.t for r in frames.compose_frames(spark.createDataFrame(rows, "n string, p string, r array<double>, t array<double>"), "n", "p", "r", "t").collect()}
+    at, m = np.zeros(3), np.eye(3)
+    for i in range(9):
+        at, m = at + m @ [1, 0, 0], m @ np.array(turn).reshape(3, 3)
+        assert got[f"n{i}"] == pytest.approx(list(at))
+    assert got["lost"] == [5, 0, 0] and len(got) == 11
+    with pytest.raises(RuntimeError):
+        frames.compose_frames(spark.createDataFrame([("a", "b", turn, [0.0] * 3), ("b", "a", turn, [0.0] * 3)], "n string, p string, r array<double>, t array<double>"), "n", "p", "r", "t", 4)
+    p = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.9, 0.0, 0.0), (3, 1.8, 0.0, 0.0), (4, 5.0, 0.0, 0.0), (5, None, 0.0, 0.0)], "k int, x double, y double, z double")
+    assert {(r.a, r.b) for r in frames.pairs_within(p, "k", 1.0).collect()} == {(1, 2), (2, 3)}
+    assert {r.k: r.body for r in frames.merge_close(p, "k", 1.0).collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 2}
+    c = frames.read_critiques(spark.createDataFrame([('{"issues": [{"severity": "high"}], "auto_fix_merges": [{"target": 1, "sources": [2]}, {"sources": [3]}, {"target": 4, "sources": []}]}',), ("no json",), (None,)], "t string"), "t").collect()
+    assert [r.severe for r in c] == [True, False, False] and len(c[0].critique.auto_fix_merges) == 1
+    q = frames.read_priors(spark.createDataFrame([('{"confidence": 0.7, "expected_dof": 6}',), ("{}",), (None,)], "t string"), "t").collect()
+    assert [r.trusted for r in q] == [True, False, False] and q[0].prior.expected_dof == 6 and q[1].prior.expected_chain_topology == "serial"
