@@ -177,7 +177,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p3_found": p3_found, "p3_splits": p3_splits}
 
 _FILLED = " + ".join(
-    [f"cast(coalesce(trim(e.{c}) <> '', false) as integer)" for c in ("family", "vendor", "license", "fidelity_class", "scale_class")]
+    [rf"cast(coalesce(regexp_matches(e.{c}, '\S'), false) as integer)" for c in ("family", "vendor", "license", "fidelity_class", "scale_class")]
     + [f"cast(e.{c} is not null as integer)" for c in ("total_mass", "mesh_bytes_total", "joint_range_total_rad")]
     + ["cast(coalesce(len(e.aabb_extent_m) > 0, false) as integer)"]
 )

@@ -14,7 +14,7 @@ COUNTED = ("family", "vendor", "license", "total_mass", "mesh_bytes_total", "joi
 def _filled(df: DataFrame, c: str) -> Column:
     kind = df.schema[c].dataType.typeName()
     if kind == "string":
-        return F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+        return F.coalesce(F.col(c).rlike(r"\S"), F.lit(False))
     return F.coalesce(F.size(c) > 0, F.lit(False)) if kind == "array" else F.col(c).isNotNull()
 
 
