@@ -348,8 +348,8 @@ def test_entry_without_llm():
 def test_frames_and_json(spark):
     from skarn.operators import frames
 
-    turn = [0.0, -1, 0, 1, 0, 0, 0, 0, 1]
-    rows = [(f"n{i}", f"n{i - 1}" if i else None, turn, [1.0, 0, 0]) for i in range(9)] + [("own", "own", turn, [0.0] * 3), ("lost", "gone", turn, [5.0, 0, 0])]
+    turn = [float(x) for x in (0, -1, 0, 1, 0, 0, 0, 0, 1)]
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, turn, [1.0, 0.0, 0.0]) for i in range(9)] + [("own", "own", turn, [0.0] * 3), ("lost", "gone", turn, [5.0, 0.0, 0.0])]
     got = {r.node: r.t for r in frames.compose_frames(spark.createDataFrame(rows, "n string, p string, r array<double>, t array<double>"), "n", "p", "r", "t").collect()}
     at, m = np.zeros(3), np.eye(3)
     for i in range(9):
