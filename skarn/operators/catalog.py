@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions.names import group_key, path_key
 from skarn.operators.graph import connected_components
-from skarn.sources.tables import newest
+from skarn.sources.tables import materialize, newest
 
 
 def entries(catalog: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def entry_groups(catalog: DataFrame) -> DataFrame:
     pairs); the smallest is a partial aggregate, so an id on a third of all rows is no hot task.
     """
     e = catalog.select("entry_id", group_key(F.col("dedup_group_id")).alias("gid"), path_key(F.col("path")).alias("path"), path_key(F.col("dup_of")).alias("dup")).filter("entry_id is not null")
+    e = materialize(e, "keys")  # read six times below
     hub = e.filter("gid is not null").groupBy("gid").agg(F.min("entry_id").alias("dst"), F.max("entry_id").alias("last")).filter("dst < last")
     by_id = e.filter("gid is not null").join(hub, "gid").select(F.col("entry_id").alias("src"), "dst")
     home = e.filter("path is not null").groupBy("path").agg(F.min("entry_id").alias("dst"), F.max("entry_id").alias("last"))

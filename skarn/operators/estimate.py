@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.sources.tables import ship
+
 
 def rigid_fit(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rotation and shift that move points a onto b with least squares, never mirroring."""
@@ -193,6 +195,8 @@ def fit_per_group(df: DataFrame, key: str, kind: str) -> DataFrame:
     """One estimate per group: 'circle' of points x, y, z; 'rigid' of points x, y, z onto u, v, w.
 
     Rows with a null coordinate are left out. A group is one mesh or pose and is solved in memory."""
+    ship(df.sparkSession)
+
     def circle(d: pd.DataFrame) -> pd.DataFrame:
         f = circle_fit(d[["x", "y", "z"]].dropna().to_numpy(float))
         return pd.DataFrame([[d[key].iloc[0], *f["centre"], f["radius"], f["residual"], f["score"]]])
@@ -213,6 +217,8 @@ def fit_per_group(df: DataFrame, key: str, kind: str) -> DataFrame:
 def cleaned_labels(df: DataFrame, mesh: str, face: str, label: str) -> DataFrame:
     """mesh, face, label, cleaned: `clean_fragments` of each mesh whose faces touch in the order of
     their numbers. A mesh is solved in memory."""
+    ship(df.sparkSession)
+
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values(face)
         n = len(d)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.sources.tables import discard, materialize
+from skarn.sources.tables import discard, materialize, ship
 
 
 def hierarchy(df: DataFrame, node: str, parent: str, max_rounds: int = 64) -> DataFrame:
@@ -186,6 +186,7 @@ def cycle_links(df: DataFrame, key: str, first: str, second: str, kind: str) ->
     are no joints; null arrays have none. Rows with a null key are ignored and a key that
     occurs again counts once. No other column is read.
     """
+    ship(df.sparkSession)
     joints = _batches(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +205,7 @@ def link_forest(df: DataFrame, key: str, first: str, second: str, kind: str) ->
     parent is the smallest of a link's parents, null for a root. root, depth, path (links from
     the root) and descendants are null for links on a cycle or whose parents lead to one.
     """
+    ship(df.sparkSession)
     joints = _batches(kind)
 
     def lists(owner: np.ndarray, value: np.ndarray, n: int, null: np.ndarray) -> pa.Array:

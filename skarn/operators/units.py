@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skarn.functions.names import name_key
-from skarn.sources.tables import materialize
+from skarn.sources.tables import materialize, ship
 
 # Prefixes (power of ten), roots (dimension, factor to the coherent unit, log prior),
 # endings and exponents of unit words in the languages the notes use.
@@ -245,6 +245,7 @@ def common_units(entry: DataFrame, source_ref: DataFrame, groups: DataFrame) ->
     group have. Entries whose box is null, empty, zero or has no finite number are left out;
     null notes, classes and sources are no evidence; ties go to the earlier unit of LENGTHS.
     """
+    ship(entry.sparkSession)
     box = F.col("aabb_extent_m")
     e = entry.select("entry_id", name_key(F.col("source")).alias("source"), F.col("aabb_extent_m"), longest_side(box).alias("most"), name_key(F.col("scale_class")).alias("word"), F.col("notes"), F.col("scale_class"))
     e = e.filter("most is not null").withColumns({"note": F.when(F.col("notes").rlike(r"\S"), _read("notes")), "sized": F.when(F.col("scale_class").rlike(r"\d"), _read("scale_class"))})

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +17,31 @@ from pyspark.sql import functions as F
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One Parquet table of a data directory (a file or a folder of part files)."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that its functions run where it
+    is not installed. The archive lies in the shared folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_skarn_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(f.relative_to(root.parent))), f.read_bytes())
+    path = f"{shared_dir(spark).rstrip('/')}/skarn_{hashlib.sha1(data.getvalue()).hexdigest()[:12]}_{uuid.uuid4().hex[:8]}.zip"
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    sc._skarn_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
