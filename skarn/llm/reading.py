@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.sources.tables import ship
+
 LEVELS = ("novice", "practitioner", "specialist")
 #: Classes of sentences: the levels of English prose, and prose of other languages.
 CLASSES = (*LEVELS, "foreign")
@@ -227,6 +229,7 @@ def reading_levels(documents: DataFrame, model: ReadingModel) -> DataFrame:
     rows are kept as they are, repeated or not. The model (a megabyte, whatever the corpus) goes
     to every executor once.
     """
+    ship(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.calibration))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
