@@ -227,3 +227,75 @@ def cleaned_labels(df: DataFrame, mesh: str, face: str, label: str) -> DataFrame
 
     s = df.schema
     return df.select(mesh, face, label).filter(F.col(label).isNotNull()).groupBy(mesh).applyInPandas(run, f"{mesh} {s[mesh].dataType.simpleString()}, {face} {s[face].dataType.simpleString()}, {label} {s[label].dataType.simpleString()}, cleaned int")
+
+
+def mean_rotation(rotations: np.ndarray) -> np.ndarray:
+    """The rotation nearest to many in the mean: that of the largest eigenvector of the sum of
+    their quaternions' outer products, which does not mind a quaternion's sign."""
+    total = np.zeros((4, 4))
+    for m in rotations:
+        k = np.array([
+            [m[0, 0] - m[1, 1] - m[2, 2], 0, 0, 0], [m[1, 0] + m[0, 1], m[1, 1] - m[0, 0] - m[2, 2], 0, 0],
+            [m[2, 0] + m[0, 2], m[2, 1] + m[1, 2], m[2, 2] - m[0, 0] - m[1, 1], 0], [m[2, 1] - m[1, 2], m[0, 2] - m[2, 0], m[1, 0] - m[0, 1], m[0, 0] + m[1, 1] + m[2, 2]],
+        ]) / 3
+        q = np.linalg.eigh(k)[1][:, -1]
+        total += np.outer(q, q)
+    x, y, z, w = np.linalg.eigh(total)[1][:, -1]
+    return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+
+
+def spread_triple(p: np.ndarray, least: float, rng: np.random.Generator, tries: int = 50) -> np.ndarray | None:
+    """Three points of which no two are nearer than `least`, else none."""
+    for _ in range(tries if len(p) >= 3 else 0):
+        i = rng.choice(len(p), 3, replace=False)
+        e = p[i]
+        if min(np.linalg.norm(e[0] - e[1]), np.linalg.norm(e[0] - e[2]), np.linalg.norm(e[1] - e[2])) >= least:
+            return i
+    return None
+
+
+def scene_bodies(df: DataFrame, scene: str, vertex: str, poses: str, tolerance: float, least: int) -> DataFrame:
+    """scene, vertex, body: `segment_bodies` of each scene, whose vertices have an array of x, y, z
+    per pose. Vertices whose arrays are null or shorter than the scene's longest have body -1."""
+    ship(df.sparkSession)
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(vertex)
+        size = [0 if x is None else len(x) // 3 for x in d[poses]]
+        whole = np.array([k == max(size) and k > 1 for k in size], bool)
+        body = np.full(len(d), -1)
+        if whole.sum() >= 3:
+            body[whole] = segment_bodies(np.stack([np.asarray(x, float)[: max(size) * 3].reshape(-1, 3) for x in d[poses][whole]], 1), tolerance, least)
+        return pd.DataFrame({scene: d[scene], vertex: d[vertex], "body": body.astype("int32")})
+
+    s = df.schema
+    return df.select(scene, vertex, poses).groupBy(scene).applyInPandas(run, f"{scene} {s[scene].dataType.simpleString()}, {vertex} {s[vertex].dataType.simpleString()}, body int")
+
+
+def scene_trees(weights: DataFrame, scene: str) -> DataFrame:
+    """scene, label, parent: `infer_tree` of each scene's label pairs (la, lb, weight); the root, of
+    parent -1, is the label on most edges."""
+    ship(weights.sparkSession)
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        w = {(int(a), int(b)): int(n) for a, b, n in zip(d["la"], d["lb"], d["weight"])}
+        faces: dict[int, int] = {}
+        for (a, b), n in w.items():
+            faces[a], faces[b] = faces.get(a, 0) + n, faces.get(b, 0) + n
+        tree = sorted(infer_tree(w, faces).items())
+        return pd.DataFrame({scene: [d[scene].iloc[0]] * len(tree), "label": [k for k, _ in tree], "parent": [v for _, v in tree]})
+
+    return weights.select(scene, "la", "lb", "weight").groupBy(scene).applyInPandas(run, f"{scene} {weights.schema[scene].dataType.simpleString()}, label bigint, parent bigint")
+
+
+def holed(df: DataFrame, cloud: str, key: str, radius: float, most: int, limit: float, seed: int) -> DataFrame:
+    """The rows of df (cloud, key, x, y, z) that stay after `punch_holes` of each cloud, which is
+    solved in memory; the seed is the cloud's own."""
+    ship(df.sparkSession)
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(key)
+        return d[punch_holes(d[["x", "y", "z"]].to_numpy(float), radius, most, limit, seed + int(d[cloud].iloc[0]) * 100003)]
+
+    d = df.select(cloud, key, "x", "y", "z").dropna()
+    return d.groupBy(cloud).applyInPandas(run, d.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skarn.operators import estimate as S
 from skarn.operators import frames as K
 from skarn.operators import vectors as V
 from skarn.sources.tables import newest, read_table
@@ -107,3 +108,44 @@ def chain_shapes(spark, sf):
     x = x.select("example_id", F.explode("joints").alias("j"), kids.alias("kids")).select("example_id", F.col("j.parent").alias("parent"), (~F.array_contains("kids", F.col("j.parent"))).alias("top"))
     k = x.groupBy("example_id", "parent").agg(F.count("*").alias("k"), F.count_if("top").alias("t"))
     return k.groupBy("example_id").agg(F.sum("k").alias("joints"), F.count("*").alias("parents"), F.sum("t").alias("from_roots"), (F.max("k") <= 1).alias("serial"))
+
+
+@query("""with p as (select vec_id, label, k, cast(embedding[3 * k + 1] as double) as x, cast(embedding[3 * k + 2] as double) as y, cast(embedding[3 * k + 3] as double) as z from embeddings, (select unnest(range(0, 21)) as k)),
+d as (select p.vec_id, p.label, p.k, p.x - o.x as x, p.y - o.y as y, p.z - o.z as z from p join p o on o.vec_id = p.vec_id and o.k = 0),
+m as (select label, k, avg(x) as x, avg(y) as y, avg(z) as z from d group by 1, 2)
+select vec_id, round(max(sqrt((d.x - m.x) ** 2 + (d.y - m.y) ** 2 + (d.z - m.z) ** 2)), 6) as worst, count(*) filter (sqrt((d.x - m.x) ** 2 + (d.y - m.y) ** 2 + (d.z - m.z) ** 2) < 0.2) as inliers from d join m using (label, k) group by 1""")
+def pose_residuals(spark, sf):
+    """Worst distance of each vertex from its body's mean motion over all poses."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    e = read_table(spark, sf, "embeddings").select("vec_id", "label", v.alias("e"))
+    k = F.sequence(F.lit(0), F.lit(20))
+    d = e.select("vec_id", "label", "e", F.explode(k).alias("k")).select("vec_id", "label", "k", *[(F.get("e", 3 * F.col("k") + i) - F.get("e", F.lit(i))).alias(n) for i, n in enumerate("xyz")])
+    m = d.groupBy("label", "k").agg(*[F.avg(n).alias(f"m{n}") for n in "xyz"])
+    far = V.norm(F.array(*[F.col(n) - F.col(f"m{n}") for n in "xyz"]))
+    return d.join(m, ["label", "k"]).groupBy("vec_id").agg(F.round(F.max(far), 6).alias("worst"), F.count_if(far < 0.2).alias("inliers"))
+
+
+@query()
+def segmented_bodies(spark, sf):
+    """Bodies of pose series by consensus of triples: each label's first four triples as poses."""
+    e = read_table(spark, sf, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 12).alias("poses"))
+    return S.scene_bodies(e, "label", "vec_id", "poses", 0.2, 5)
+
+
+@query()
+def inferred_trees(spark, sf):
+    """Trees of labels from their shared edges: nations of customers that order in turn."""
+    from skarn.operators.prefix import grouped_prefix
+    from skarn.sources.tables import materialize
+
+    o = read_table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.pmod("o_orderkey", F.lit(9)).cast("int").alias("label"))
+    f = materialize(grouped_prefix(o, ["o_custkey"], ["o_orderkey"]), "faces")
+    b = f.select("o_custkey", (F.col("rank") - 1).alias("rank"), F.col("label").alias("next"))
+    w = f.join(b, ["o_custkey", "rank"]).filter("label <> next").groupBy((F.col("o_custkey") % 10).alias("scene"), F.least("label", "next").alias("la"), F.greatest("label", "next").alias("lb")).agg(F.count("*").alias("weight"))
+    return S.scene_trees(w, "scene")
+
+
+@query()
+def punched_clouds(spark, sf):
+    """Clouds with spheres cut out (M4)."""
+    return S.holed(_xyz(spark, sf), "label", "vec_id", 0.1, 8, 0.3, 7)

@@ -365,3 +365,20 @@ def test_frames_and_json(spark):
     assert [r.severe for r in c] == [True, False, False] and len(c[0].critique.auto_fix_merges) == 1
     q = frames.read_priors(spark.createDataFrame([('{"confidence": 0.7, "expected_dof": 6}',), ("{}",), (None,)], "t string"), "t").collect()
     assert [r.trusted for r in q] == [True, False, False] and q[0].prior.expected_dof == 6 and q[1].prior.expected_chain_topology == "serial"
+
+
+def test_scenes(spark):
+    rng = np.random.default_rng(4)
+    cloud = rng.normal(size=(30, 3))
+    rots = [estimate.rigid_fit(cloud, cloud + 0.05 * rng.normal(size=(30, 3)))[0] for _ in range(9)]
+    assert np.allclose(estimate.mean_rotation(np.array([np.eye(3)] * 3)), np.eye(3)) and np.allclose(estimate.mean_rotation(np.array(rots)), np.eye(3), atol=0.05)
+    assert estimate.spread_triple(np.zeros((5, 3)), 0.02, rng) is None and estimate.spread_triple(np.eye(3), 0.02, rng) is not None
+    p = rng.normal(size=(30, 3))
+    rows = [("s", i, [*map(float, q), *map(float, q + (1 if i < 15 else 0))]) for i, q in enumerate(p)] + [("s", 30, None), ("s", 31, [0.0]), ("t", 0, [0.0] * 6)]
+    got = {(r.s, r.v): r.body for r in estimate.scene_bodies(spark.createDataFrame(rows, "s string, v int, poses array<double>"), "s", "v", "poses", 1e-6, 5).collect()}
+    assert len({got["s", i] for i in range(15)}) == 1 and len({got["s", i] for i in range(15, 30)}) == 1 and got["s", 0] != got["s", 20] and got["s", 30] == got["s", 31] == got["t", 0] == -1
+    w = spark.createDataFrame([("a", 1, 2, 3), ("a", 2, 3, 5), ("a", 1, 3, 1)], "s string, la int, lb int, weight int")
+    assert {r.label: r.parent for r in estimate.scene_trees(w, "s").collect()} == {2: -1, 1: 2, 3: 2}
+    c = spark.createDataFrame([(i % 2, i, *map(float, q)) for i, q in enumerate(p)], "c int, k int, x double, y double, z double")
+    h = estimate.holed(c, "c", "k", 0.7, 5, 0.3, 1)
+    assert 21 <= h.count() <= 30 and {r.k for r in h.collect()} == {r.k for r in estimate.holed(c.repartition(3), "c", "k", 0.7, 5, 0.3, 1).collect()}
