@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     after max_rounds (the number of rounds grows with the logarithm of the longest chain).
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v")
-    both = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = materialize(e.select(ways.alias("w")).select("w.u", "w.v").distinct(), "edges")
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"), F.lit(True).alias("moved")), "labels")
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v").groupBy("u").agg(F.min("lv").alias("m"))
