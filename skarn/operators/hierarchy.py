@@ -135,8 +135,7 @@ class Forest:
     def _forked(self) -> None:
         """Cycles through a link of several parents: doubling of ancestor sets, on what is left
         after links without open parents, or without open children, were taken off."""
-        forked = np.zeros(int(self.row.max()) + 1 if len(self.row) else 0, bool)
-        forked[self.row[self.fork]] = True
+        forked = self._forked_rows()
         open_ = forked[self.row[self.child]] if len(self.child) else np.zeros(0, bool)
         p, c, n = self.parent[open_], self.child[open_], len(self.row)
         while len(p):
@@ -146,19 +145,35 @@ class Forest:
             if keep.all():
                 break
             p, c = p[keep], c[keep]
-        pairs = np.unique(c * max(n, 1) + p)  # (link, ancestor)
-        while len(pairs):
-            a, b = pairs // n, pairs % n
-            begin, end = np.searchsorted(a, b), np.searchsorted(a, b, "right")
-            size = end - begin
-            far = b_far = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            b_far = b[far]
-            more = np.unique(np.concatenate([pairs, np.repeat(a, size) * n + b_far]))
-            if len(more) == len(pairs):
-                break
-            pairs = more
-        if len(pairs):
-            self.in_cycle[pairs[pairs // n == pairs % n] // n] = True
+        link, above = _closure(c, p, n)
+        self.in_cycle[link[link == above]] = True
+
+    def below_cycles(self) -> np.ndarray:
+        """Whether each link is on a cycle or can be reached from one, by any of its parents."""
+        bad, new = self.in_cycle.copy(), self.in_cycle
+        while new.any():
+            reached = np.zeros(len(bad), bool)
+            reached[self.child[new[self.parent]]] = True
+            new = reached & ~bad
+            bad |= new
+        return bad
+
+    def ancestors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(link, ancestor) over all joints, without the link itself, of the ancestors that no
+        cycle leads to: pointers where no link of the row has several parents, else doubled sets."""
+        node, at, _ = self.chains()
+        forked = self._forked_rows()
+        tree = (node != at) & ~forked[self.row[node]] if len(node) else np.zeros(0, bool)
+        open_ = forked[self.row[self.child]] if len(self.child) else np.zeros(0, bool)
+        link, above = _closure(self.child[open_], self.parent[open_], len(self.row))
+        link, above = np.concatenate([node[tree], link]), np.concatenate([at[tree], above])
+        good = ~self.below_cycles()[above]
+        return link[good], above[good]
+
+    def _forked_rows(self) -> np.ndarray:
+        forked = np.zeros(int(self.row.max()) + 1 if len(self.row) else 0, bool)
+        forked[self.row[self.fork]] = True
+        return forked
 
     def chains(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(node, ancestor, ancestor's depth), the node itself included, of all links with a root."""
@@ -173,6 +188,22 @@ class Forest:
         return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
+def _closure(child: np.ndarray, parent: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(link, ancestor) of all ways up, by doubling of ancestor sets; a link on a cycle is its own."""
+    n = max(n, 1)
+    pairs = np.unique(child * n + parent)
+    while len(pairs):
+        a, b = pairs // n, pairs % n
+        begin, end = np.searchsorted(a, b), np.searchsorted(a, b, "right")
+        size = end - begin
+        far = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        more = np.unique(np.concatenate([pairs, np.repeat(a, size) * n + b[far]]))
+        if len(more) == len(pairs):
+            break
+        pairs = more
+    return pairs // n, pairs % n
+
+
 def _batches(kind: str):
     return _joints_nested if kind == "nested" else _joints_flat
 
@@ -202,8 +233,12 @@ def link_forest(df: DataFrame, key: str, first: str, second: str, kind: str) ->
     """example_id, link, parent, root, depth, path, descendants, in_cycle for each link of the
     graphs that df's rows hold (arguments and rules as for `cycle_links`; keys must be unique).
 
-    parent is the smallest of a link's parents, null for a root. root, depth, path (links from
-    the root) and descendants are null for links on a cycle or whose parents lead to one.
+    parent is the smallest of a link's parents, null for a root. root, depth and path (links from
+    the root) are those of the way up by smallest parents, also where other parents lead to other
+    roots. descendants holds every link that any joints lead down to, so a link below several
+    parents or roots is among the descendants of each, and links on a cycle are among those of
+    the links above it. root, depth, path and descendants are null for links on a cycle, a joint
+    of a link with itself included, and for links of which any parent leads to a cycle.
     """
     ship(df.sparkSession)
     joints = _batches(kind)
@@ -218,18 +253,21 @@ def link_forest(df: DataFrame, key: str, first: str, second: str, kind: str) ->
                 b = whole.slice(start, 2000)
                 f = Forest(*joints(b.column(1), b.column(2)))
                 n, at = len(f.row), np.arange(len(f.row))
+                null = f.below_cycles()
                 node, above, level = f.chains()
+                whole_way = ~null[node]
+                node, above, level = node[whole_way], above[whole_way], level[whole_way]
                 down = np.lexsort((level, node))
-                under = np.flatnonzero(above != node)
-                under = under[np.lexsort((node[under], above[under]))]
+                under, over = f.ancestors()
+                order = np.lexsort((under, over))
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).take(pa.array(f.row)),
                     pa.array(f.link.astype(np.int32)),
                     pa.array(f.link[f.up].astype(np.int32), mask=f.up == at),
-                    pa.array(f.link[f.root].astype(np.int32), mask=f.lost),
-                    pa.array(f.depth.astype(np.int32), mask=f.lost),
-                    lists(node[down], f.link[above[down]], n, f.lost),
-                    lists(above[under], f.link[node[under]], n, f.lost),
+                    pa.array(f.link[f.root].astype(np.int32), mask=null),
+                    pa.array(f.depth.astype(np.int32), mask=null),
+                    lists(node[down], f.link[above[down]], n, null),
+                    lists(over[order], f.link[under[order]], n, null),
                     pa.array(f.in_cycle),
                 ], ["example_id", "link", "parent", "root", "depth", "path", "descendants", "in_cycle"])
 

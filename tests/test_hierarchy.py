@@ -83,3 +83,38 @@ def test_forest_matches_table_form(spark):
     a = {(r.example_id * 1000 + r.link): (r.depth, [i % 1000 for i in r.path]) for r in link_forest(spark.createDataFrame(rows, "example_id bigint, p array<int>, c array<int>"), "example_id", "p", "c", "flat").collect()}
     b = {r.node: (r.depth, [i % 1000 for i in r.path]) for r in hierarchy(spark.createDataFrame(pairs, "node int, parent int"), "node", "parent").collect()}
     assert a == b
+
+
+def test_links_of_several_parents(spark):
+    rng = random.Random(11)
+    rows = [(0, [0, 0, 0, 1, 2], [1, 2, 4, 3, 4]), (1, [0, 5, 5], [5, 5, 6]), (2, [0, 1, 3, 2, 3], [2, 2, 3, 4, 1])]
+    for i in range(3, 300):
+        n, k = rng.randint(1, 9), rng.randint(0, 12)
+        rows.append((i, [rng.randint(0, n) for _ in range(k)], [rng.randint(0, n) for _ in range(k)]))
+    df = spark.createDataFrame(rows, "example_id bigint, p array<int>, c array<int>")
+    got = {(r.example_id, r.link): r for r in link_forest(df, "example_id", "p", "c", "flat").collect()}
+    assert got[0, 2].descendants == [4] and got[0, 4].path == [0, 4] and got[1, 0].descendants == [5, 6]
+    seen = 0
+    for i, p, c in rows:
+        down, up = defaultdict(set), defaultdict(set)
+        for a, b in zip(p, c):
+            down[a].add(b)
+            up[b].add(a)
+        reach = {}
+        for s in set(p) | set(c):
+            reach[s], todo = set(), [s]
+            while todo:
+                for x in down[todo.pop()] - reach[s]:
+                    reach[s].add(x)
+                    todo.append(x)
+        cyclic = {s for s in reach if s in reach[s]}
+        for s in reach:
+            r = got.pop((i, s))
+            bad = s in cyclic or any(s in reach[x] for x in cyclic)
+            way = [s]
+            while not bad and up[way[0]]:
+                way.insert(0, min(up[way[0]]))
+            assert r.in_cycle == (s in cyclic) and r.parent == min(up[s] - {s}, default=None)
+            assert (r.root, r.depth, r.path, r.descendants) == ((None,) * 4 if bad else (way[0], len(way) - 1, way, sorted(reach[s])))
+            seen += len(up[s]) > 1 and not bad
+    assert not got and seen > 50
