@@ -258,13 +258,25 @@ def tree_levels(spark, sf):
 @query("""with recursive e as (select distinct l_suppkey as a, l_partkey + 100000 as b from lineitem where l_quantity = 50 and l_suppkey % 5 = 0 and l_orderkey % 4 = 0), x as (select a, b from e union select b, a from e),
 r as (select a as s, a as t from x union select r.s, x.b from r join x on x.a = r.t) select cast(s as bigint) as node, cast(min(t) as bigint) as component from r group by 1""")
 def bipartite_components(spark, sf):
-    """Connected components by minimum labels."""
+    """The components of a few links only, which recursive SQL can check; `supplier_part_components`
+    has those of all links."""
     from skarn.operators.graph import connected_components
 
     li = read_table(spark, sf, "lineitem").filter("l_quantity = 50 and l_suppkey % 5 = 0 and l_orderkey % 4 = 0")
     return connected_components(li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 100000).alias("dst")).distinct())
 
 
+@query()
+def supplier_part_components(spark, sf):
+    """Connected components of all suppliers and parts of lineitem (G1, G2, G4): node, component.
+    Nodes are S or P and the key, so no supplier meets a part of its number; links whose supplier
+    or part is null are left out."""
+    from skarn.operators.graph import connected_components
+
+    tag = lambda t, k: F.concat(F.lit(t), F.col(k).cast("string"))
+    return connected_components(read_table(spark, sf, "lineitem").select(tag("S", "l_suppkey").alias("src"), tag("P", "l_partkey").alias("dst")))
+
+
 _MOVE = "(select user_id, hour(ts) % 6 as h, sum(value) as v from events group by all)"
 
 

@@ -18,6 +18,7 @@ from skarn.operators.prefix import grouped_prefix
 from skarn.operators.prepare import group_split, merged_limits
 from skarn.operators.spelling import near_words
 from skarn.operators.units import common_units, length_unit, parse_unit, read_statement, scale_class
+from skarn.plans import relational_pack
 from skarn.sources import readers, writers
 
 
@@ -84,6 +85,25 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_components_of_all_supplier_part_links(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.randint(1, 80), rng.randint(1, 150), rng.randint(1, 50), i) for i in range(90)] + [(None, 3, 1, 1), (4, None, 1, 1)]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_partkey bigint, l_quantity int, l_orderkey int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for s, p, _, _ in rows:
+        if s is not None and p is not None:
+            x, y = find(f"S{s}"), find(f"P{p}")
+            up[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in relational_pack.supplier_part_components(spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in up} and len(set(got.values())) > 5
+
+
 def test_groups_and_deliveries(spark):
     t = lambda d: dt.datetime(2025, 1, d)
     rows = [
