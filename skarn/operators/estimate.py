@@ -51,40 +51,42 @@ def circle_fit(p: np.ndarray) -> dict:
     return {"centre": c + sol[:2] @ vt[:2], "normal": vt[2], "radius": radius, "residual": residual, "score": float(np.clip(np.exp(-4 * off.mean() / max(radius, 1e-9)), 0, 1))}
 
 
-def segment_bodies(poses: np.ndarray, tolerance: float, least: int, seed: int = 0, tries: int = 200) -> np.ndarray:
+def segment_bodies(poses: np.ndarray, tolerance: float, least: int, seed: int = 0, tries: int = 200, spread: float = 0.02, refits: int = 5) -> np.ndarray:
     """A body number per vertex of a pose series (poses, vertices, 3), -1 where none fits.
 
-    Body after body is taken off: triples of unassigned vertices that lie apart propose a motion,
-    the one that most vertices follow is refitted on them until they no longer change."""
+    Body after body is taken off: triples of unassigned vertices that are at least `spread` apart
+    in the first pose propose a motion, which is refitted on the vertices that follow it, up to
+    `refits` times, until they no longer change; of all refitted sets the largest is the body."""
     rng = np.random.default_rng(seed)
-    k, n, _ = poses.shape
+    n = poses.shape[1]
     body = np.full(n, -1)
 
     def follow(of: np.ndarray) -> np.ndarray:
-        worst = np.zeros(n)
-        for j in range(1, k):
-            r, t = rigid_fit(poses[0][of], poses[j][of])
-            worst = np.maximum(worst, np.linalg.norm(poses[0] @ r.T + t - poses[j], axis=1))
-        return worst < tolerance
+        a, b = poses[0][of], poses[1:, of]  # `rigid_fit` of all poses at once
+        ca, cb = a.mean(0), b.mean(1, keepdims=True)
+        u, _, vt = np.linalg.svd((a - ca).T @ (b - cb))
+        vt[:, 2] *= np.where(np.linalg.det(u) * np.linalg.det(vt) < 0, -1.0, 1.0)[:, None]
+        return (np.linalg.norm((poses[0] - ca) @ (u @ vt) + cb - poses[1:], axis=2) < tolerance).all(0)
 
     number = 0
     while (free := np.flatnonzero(body < 0)).size >= max(least, 3):
         best = np.zeros(n, bool)
         for _ in range(tries):
-            pick = rng.choice(free, 3, replace=False)
-            e = poses[0][pick]
-            if np.linalg.norm(np.cross(e[1] - e[0], e[2] - e[0])) < 1e-6:
+            pick = spread_triple(poses[0][free], spread, rng)
+            if pick is None:
+                break
+            hit = follow(free[pick]) & (body < 0)
+            if hit.sum() < 3:
                 continue
-            hit = follow(pick) & (body < 0)
+            for _ in range(refits):
+                again = follow(np.flatnonzero(hit)) & (body < 0)
+                if again.sum() < 3 or (again == hit).all():
+                    break
+                hit = again
             if hit.sum() > best.sum():
                 best = hit
         if best.sum() < least:
             break
-        for _ in range(10):
-            again = follow(np.flatnonzero(best)) & (body < 0)
-            if again.sum() < 3 or (again == best).all():
-                break
-            best = again
         body[best] = number
         number += 1
     return body
@@ -245,11 +247,11 @@ def mean_rotation(rotations: np.ndarray) -> np.ndarray:
 
 
 def spread_triple(p: np.ndarray, least: float, rng: np.random.Generator, tries: int = 50) -> np.ndarray | None:
-    """Three points of which no two are nearer than `least`, else none."""
+    """Three points of which no two are nearer than `least` and that are not on one line, else none."""
     for _ in range(tries if len(p) >= 3 else 0):
         i = rng.choice(len(p), 3, replace=False)
         e = p[i]
-        if min(np.linalg.norm(e[0] - e[1]), np.linalg.norm(e[0] - e[2]), np.linalg.norm(e[1] - e[2])) >= least:
+        if min(np.linalg.norm(e[0] - e[1]), np.linalg.norm(e[0] - e[2]), np.linalg.norm(e[1] - e[2])) >= least and np.linalg.norm(np.cross(e[1] - e[0], e[2] - e[0])) >= 1e-6:
             return i
     return None
 

@@ -127,8 +127,8 @@ def pose_residuals(spark, sf):
 
 @query()
 def segmented_bodies(spark, sf):
-    """Bodies of pose series by consensus of triples: each label's first four triples as poses."""
-    e = read_table(spark, sf, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 12).alias("poses"))
+    """Bodies of pose series by consensus of refined triples: all whole x, y, z of a vector are poses."""
+    e = read_table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding").alias("poses"))
     return S.scene_bodies(e, "label", "vec_id", "poses", 0.2, 5)
 
 

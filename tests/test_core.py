@@ -18,7 +18,7 @@ from skarn.operators.prefix import grouped_prefix
 from skarn.operators.prepare import group_split, merged_limits
 from skarn.operators.spelling import near_words
 from skarn.operators.units import common_units, length_unit, parse_unit, read_statement, scale_class
-from skarn.plans import relational_pack
+from skarn.plans import frames_pack, relational_pack
 from skarn.sources import readers, writers
 
 
@@ -242,6 +242,23 @@ def test_estimates():
     assert 0.7 <= keep.mean() < 1
 
 
+def test_bodies_of_all_poses_and_refined_triples(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    p = rng.normal(size=(40, 3))
+    turn = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    steps = [p if k < 9 else np.concatenate([p[:20], p[20:] @ turn.T + [3, 0, 0]]) for k in range(21)]
+    rows = [(0, i, [float(x) for s in steps for x in s[i]] + [0.5]) for i in range(40)]
+    spark.createDataFrame(rows, "label int, vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    body = {r.vec_id: r.body for r in frames_pack.segmented_bodies(spark, str(tmp_path)).collect()}
+    assert len({body[i] for i in range(20)}) == len({body[i] for i in range(20, 40)}) == 1 and body[0] != body[20] and min(body.values()) >= 0
+    q = rng.normal(size=(30, 3))
+    noisy = np.stack([q] + [q @ turn.T + rng.normal(size=q.shape) * 0.02 for _ in range(4)])
+    assert (estimate.segment_bodies(noisy, 0.07, 10, tries=3) >= 0).sum() >= 29
+    close = np.array([[0, 0, 0], [0.001, 0, 0], [0, 0.001, 0], [1.0, 0, 0], [0, 1, 0], [2, 0, 0]])
+    assert set(estimate.spread_triple(close[[0, 1, 3, 4]], 0.02, rng)) >= {2, 3}
+    assert estimate.spread_triple(close[:3], 0.02, rng) is None and estimate.spread_triple(close[[0, 3, 5]], 0.02, rng) is None
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1, 1, 0.5, True), (2, 1, 2.0, True), (0, -1, 9.0, False)], "p int, l int, d double, ok boolean")
     r = df.agg(metrics.accuracy(F.col("p"), F.col("l")).alias("a"), metrics.masked_mean(metrics.smooth_l1(F.col("d")), F.col("ok")).alias("s")).first()
