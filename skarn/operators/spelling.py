@@ -12,10 +12,15 @@ from skarn.functions.names import core_word, near
 SHORT = 11
 
 
-def pieces(word: Column) -> Column:
-    """The keys under which a word is looked up: two words that are `near` share at least one."""
+def left_out(word: Column) -> Column:
+    """What a word becomes when one letter, or none, is left out: words one slip apart share one."""
     without = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.lit("d"), F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    short = F.when(F.length(word) <= SHORT, F.array_union(without, F.array(F.concat(F.lit("d"), word)))).otherwise(F.array().cast("array<string>"))
+    return F.array_union(without, F.array(F.concat(F.lit("d"), word)))
+
+
+def pieces(word: Column) -> Column:
+    """The keys under which a word is looked up: words one slip apart share at least one."""
+    short = F.when(F.length(word) <= SHORT, left_out(word)).otherwise(F.array().cast("array<string>"))
     ends = F.when(F.length(word) >= SHORT, F.array(F.concat(F.lit("p"), F.substring(word, 1, 5)), F.concat(F.lit("s"), F.right(word, F.lit(5))))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(short, ends))
 
@@ -23,10 +28,12 @@ def pieces(word: Column) -> Column:
 def near_words(asked: DataFrame, known: DataFrame, scope: str, word: str) -> DataFrame:
     """(scope, word, match) for each word of asked and each word of known, in one scope, that
     are `near`; equal words match too. Both sides are reduced to distinct words first, and words
-    meet by hashed pieces, so the work follows the number of real candidates."""
+    meet by hashed pieces, so the work follows the number of real candidates. A slip in a suffix
+    that `core_word` takes off leaves one of two words unstripped, so whole words meet too, without
+    a letter rather than by their ends, which all words of one suffix share."""
     def side(df: DataFrame, name: str) -> DataFrame:
         d = df.select(scope, F.col(word).alias(name)).filter(F.col(scope).isNotNull() & F.col(name).isNotNull()).distinct()
-        return d.select("*", F.explode(pieces(core_word(F.col(name)))).alias("piece")).select(scope, name, F.xxhash64(scope, "piece").alias("h"))
+        return d.select("*", F.explode(F.array_union(pieces(core_word(F.col(name))), left_out(F.col(name)))).alias("piece")).select(scope, name, F.xxhash64(scope, "piece").alias("h"))
 
     a, b = side(asked, "a"), side(known, "b").withColumnRenamed(scope, "scope_b")
     pairs = a.join(b, "h").filter((F.col(scope) == F.col("scope_b")) & near(F.col("a"), F.col("b")))

@@ -50,6 +50,14 @@ def test_near_words_find_every_slip(spark):
     assert a.distinct().join(got, ["s", "w", "want"], "left_anti").count() == 0
 
 
+def test_near_words_find_slips_in_suffixes(spark):
+    pairs = [("atlas_descripton", "atlas_description"), ("atlasdescription", "atlas_description"), ("atlas_ddescription", "atlas_description"), ("atlas_decsription", "atlas_description"), ("scen_atlas", "scene_atlas")]
+    a = spark.createDataFrame([("s", x, y) for x, y in pairs], "s string, w string, want string")
+    b = spark.createDataFrame([("s", y) for _, y in pairs] + [("s", f"other{i}_description") for i in range(9)], "s string, w string")
+    got = {(r.w, r.match) for r in near_words(a, b, "s", "w").collect()}
+    assert got == {p for p in pairs if p != ("scen_atlas", "scene_atlas")}  # parts of up to four letters must agree
+
+
 def test_classification(spark):
     paths = ["src/foo_arm/foo.xml", "src/foo_arm/scene.xml", "a/urdfs/robots/foo/foo.urdf", "u/urdf_files/random/robot-assets/foo/foo.urdf", "b/data/bar/bar.urdf", "b/examples/pybullet/gym/pybullet_data/x.urdf", "r/robosuite/models/assets/robots/iiwa/robot.xml", "m/x_support/go.urdf", "plain.urdf"]
     assert column(spark, paths, "string", C.path_tail) == ["foo_arm/foo.xml", "foo_arm/scene.xml", "foo/foo.urdf", "foo/foo.urdf", "bar/bar.urdf", "x.urdf", "iiwa/robot.xml", "x_support/go.urdf", "plain.urdf"]
