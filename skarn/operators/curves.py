@@ -113,6 +113,15 @@ def hilbert(x: Column, y: Column, z: Column, depth: int) -> Column:
     return code(x.cast("long"), y.cast("long"), z.cast("long"))
 
 
+def hilbert_decode(code: Column, depth: int) -> Column:
+    """(x, y, z) of a place on the Hilbert curve, computed on Arrow batches."""
+    @F.pandas_udf("x long, y long, z long")
+    def cell(c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(hilbert_points(c.to_numpy(np.int64), depth), columns=["x", "y", "z"])
+
+    return cell(code)
+
+
 def curve_rank(df: DataFrame, code: str, key: str) -> DataFrame:
     """df with place: the row's number (from 0) along the curve, ties by key; so place is the
     inverse of the sorting permutation."""

@@ -64,7 +64,9 @@ def curve_places(spark, sf):
 def hilbert_places(spark, sf):
     """Places on the Hilbert curve, and whether decoding gives the cell back (Q4, Q5)."""
     g = _coded(spark, sf)
-    return g.select("vec_id", "gx", "gy", "gz", G.hilbert(F.col("gx"), F.col("gy"), F.col("gz"), DEPTH).alias("hilbert"), G.hilbert(F.col("gy"), F.col("gx"), F.col("gz"), DEPTH).alias("hilbert_trans"))
+    g = g.select("vec_id", "gx", "gy", "gz", G.hilbert(F.col("gx"), F.col("gy"), F.col("gz"), DEPTH).alias("hilbert"), G.hilbert(F.col("gy"), F.col("gx"), F.col("gz"), DEPTH).alias("hilbert_trans"))
+    g = g.withColumn("back", G.hilbert_decode(F.col("hilbert"), DEPTH))
+    return g.withColumn("round_trip", (F.col("back.x") == F.col("gx")) & (F.col("back.y") == F.col("gy")) & (F.col("back.z") == F.col("gz"))).drop("back")
 
 
 @query(f"select code >> 9 as cell, count(*) as n, min(vec_id) as head, round(sum(x), 6) as x_sum, round(avg(x), 6) as x_mean, round(min(x), 6) as x_min, round(max(x), 6) as x_max from {_CODE} group by 1")

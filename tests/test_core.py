@@ -18,7 +18,7 @@ from skarn.operators.prefix import grouped_prefix
 from skarn.operators.prepare import group_split, merged_limits
 from skarn.operators.spelling import near_words
 from skarn.operators.units import common_units, length_unit, parse_unit, read_statement, scale_class
-from skarn.plans import frames_pack, relational_pack
+from skarn.plans import frames_pack, relational_pack, spatial_pack
 from skarn.sources import readers, writers
 
 
@@ -154,6 +154,15 @@ def test_statements(note, stated):
     assert read_statement(note)[0] == stated
 
 
+def test_hilbert_places_decode_to_their_cells(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, i % 3, [rng.random() for _ in range(3)]) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = spatial_pack.hilbert_places(spark, str(tmp_path)).collect()
+    assert len(got) == 200 and all(r.round_trip for r in got)
+    assert (curves.hilbert_points(np.array([r.hilbert for r in got]), 8) == [[r.gx, r.gy, r.gz] for r in got]).all()
+
+
 def test_common_units(spark):
     E = "entry_id bigint, source string, notes string, scale_class string, aabb_extent_m array<double>, unit string"
     rows = [
