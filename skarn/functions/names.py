@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 # Texts that say that nothing is known.
 PLACEHOLDERS = ("unknown", "n/a", "na", "none", "null", "nil", "-", "--", "?", "tbd", "unspecified", "not known", "not available", "undefined")
-# File kinds, suffixes and prefixes of model names that carry no identity.
+# File kinds, and stems that name no model.
 FILE_KINDS = "urdf|xml|sdf|mjcf"
-PARENT_SUFFIX = "description|urdf|support"
-STEM_SUFFIX = "fixed|mjx"
 GENERIC_STEMS = ("robot", "model", "scene")
 
 
@@ -49,12 +47,6 @@ def stem_of(key: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(key, "/"), -1), rf"\.({FILE_KINDS})$", "")
 
 
-def core_word(word: Column) -> Column:
-    """A parent directory or stem without the suffixes and prefixes that carry no identity."""
-    k = F.regexp_replace(word, rf"_({PARENT_SUFFIX}|{STEM_SUFFIX})$", "")
-    return F.regexp_replace(k, r"^scene_", "")
-
-
 def split_key(c: Column) -> Column:
     """train, val or test from any spelling of a split; others as their name_key."""
     k = name_key(c)
@@ -66,11 +58,15 @@ def split_key(c: Column) -> Column:
     )
 
 
+def fixed_parts(word: Column) -> Column:
+    """The parts of a word that have digits or up to four letters (v2, mk3, left): they tell
+    models of one family apart, so no slip is looked for in them."""
+    return F.array_join(F.filter(F.split(word, "_"), lambda p: (F.length(p) <= 4) | p.rlike("[0-9]")), "_")
+
+
 def near(a: Column, b: Column) -> Column:
-    """True where two words are the same but for one letter added, lost, changed or swapped
-    with its neighbour. Parts with digits and parts of up to four letters (v2, mk3, left) must
-    agree: they tell models of one family apart."""
-    short = lambda x: F.array_join(F.filter(F.split(x, "_"), lambda p: (F.length(p) <= 4) | p.rlike("[0-9]")), "_")
+    """True where two words are the same but for one letter added, lost, changed or moved, and
+    their fixed parts agree."""
     letters = lambda x: F.array_join(F.array_sort(F.split(x, "")), "")
     d = F.levenshtein(a, b)
-    return (short(a) == short(b)) & ((d <= 1) | ((d == 2) & (letters(a) == letters(b))))
+    return (fixed_parts(a) == fixed_parts(b)) & ((d <= 1) | ((d == 2) & (letters(a) == letters(b))))

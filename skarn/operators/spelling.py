@@ -5,36 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.functions.names import core_word, near
-
-#: Words up to this length are looked up by all they become when one letter is left out, longer
-#: ones by their first and last five letters, of which one slip leaves at least one whole.
-SHORT = 11
+from skarn.functions.names import fixed_parts, near
 
 
 def left_out(word: Column) -> Column:
     """What a word becomes when one letter, or none, is left out: words one slip apart share one."""
-    without = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.lit("d"), F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_union(without, F.array(F.concat(F.lit("d"), word)))
+    without = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_union(without, F.array(word))
 
 
-def pieces(word: Column) -> Column:
-    """The keys under which a word is looked up: words one slip apart share at least one."""
-    short = F.when(F.length(word) <= SHORT, left_out(word)).otherwise(F.array().cast("array<string>"))
-    ends = F.when(F.length(word) >= SHORT, F.array(F.concat(F.lit("p"), F.substring(word, 1, 5)), F.concat(F.lit("s"), F.right(word, F.lit(5))))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(short, ends))
+def near_words(asked: DataFrame, known: DataFrame, scope: list[str], word: str) -> DataFrame:
+    """(*scope, word, match) for each word of asked and each word of known, in one scope, that
+    are `near`; equal words match too. Both sides are reduced to distinct words first.
 
+    Words meet by hashes of their scope, the parts that must agree, and what is left without one
+    letter. All words of one key differ in one letter only, so a key holds at most a word's
+    length times the alphabet of them, and the work follows the number of real candidates
+    however many words a scope has or how they begin. Rows with a null scope or word are left out.
+    """
 
-def near_words(asked: DataFrame, known: DataFrame, scope: str, word: str) -> DataFrame:
-    """(scope, word, match) for each word of asked and each word of known, in one scope, that
-    are `near`; equal words match too. Both sides are reduced to distinct words first, and words
-    meet by hashed pieces, so the work follows the number of real candidates. A slip in a suffix
-    that `core_word` takes off leaves one of two words unstripped, so whole words meet too, without
-    a letter rather than by their ends, which all words of one suffix share."""
     def side(df: DataFrame, name: str) -> DataFrame:
-        d = df.select(scope, F.col(word).alias(name)).filter(F.col(scope).isNotNull() & F.col(name).isNotNull()).distinct()
-        return d.select("*", F.explode(F.array_union(pieces(core_word(F.col(name))), left_out(F.col(name)))).alias("piece")).select(scope, name, F.xxhash64(scope, "piece").alias("h"))
-
-    a, b = side(asked, "a"), side(known, "b").withColumnRenamed(scope, "scope_b")
-    pairs = a.join(b, "h").filter((F.col(scope) == F.col("scope_b")) & near(F.col("a"), F.col("b")))
-    return pairs.select(scope, F.col("a").alias(word), F.col("b").alias("match")).distinct()
+        d = df.select(*scope, F.col(word).alias(name)).dropna().distinct()
+        d = d.withColumn("h", F.explode(F.transform(left_out(F.col(name)), lambda x: F.xxhash64(*scope, fixed_parts(F.col(name)), x))))
+        return d.select(*[F.col(s).alias(f"{s}_{name}") for s in scope], name, "h")
+
+    a, b = side(asked, "a"), side(known, "b")
+    same = near(F.col("a"), F.col("b"))
+    for s in scope:
+        same = same & (F.col(f"{s}_a") == F.col(f"{s}_b"))
+    return a.join(b, "h").filter(same).select(*[F.col(f"{s}_a").alias(s) for s in scope], F.col("a").alias(word), F.col("b").alias("match")).distinct()

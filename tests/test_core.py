@@ -46,7 +46,7 @@ def test_near_words_find_every_slip(spark):
         asked += [w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]]
     a = spark.createDataFrame([("s", x, w) for x, w in zip(asked, [w for w in words for _ in range(4)])], "s string, w string, want string")
     b = spark.createDataFrame([("s", w) for w in words] + [("other", asked[0]), ("s", None)], "s string, w string")
-    got = near_words(a, b, "s", "w").withColumnRenamed("match", "want")
+    got = near_words(a, b, ["s"], "w").withColumnRenamed("match", "want")
     assert a.distinct().join(got, ["s", "w", "want"], "left_anti").count() == 0
 
 
@@ -54,7 +54,7 @@ def test_near_words_find_slips_in_suffixes(spark):
     pairs = [("atlas_descripton", "atlas_description"), ("atlasdescription", "atlas_description"), ("atlas_ddescription", "atlas_description"), ("atlas_decsription", "atlas_description"), ("scen_atlas", "scene_atlas")]
     a = spark.createDataFrame([("s", x, y) for x, y in pairs], "s string, w string, want string")
     b = spark.createDataFrame([("s", y) for _, y in pairs] + [("s", f"other{i}_description") for i in range(9)], "s string, w string")
-    got = {(r.w, r.match) for r in near_words(a, b, "s", "w").collect()}
+    got = {(r.w, r.match) for r in near_words(a, b, ["s"], "w").collect()}
     assert got == {p for p in pairs if p != ("scen_atlas", "scene_atlas")}  # parts of up to four letters must agree
 
 
