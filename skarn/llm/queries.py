@@ -31,11 +31,28 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out slots with the training slot that names the same robot, and the containment."""
+    return overlap.split_overlaps(_slots(spark, sf)[0])
+
+
+def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     """Overlaps per split and source."""
     slots = _slots(spark, sf)[0]
     return overlap.overlap_report(slots, overlap.split_overlaps(slots))
 
 
+def p2_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out slots of each split, as reported; overlaps without a training slot of their robot
+    or of less than the asked containment, of which there are none."""
+    slots = _slots(spark, sf)[0]
+    found = materialize(overlap.split_overlaps(slots), "overlaps")
+    train = slots.filter("split = 'train'").select(F.col("shard").alias("train_shard"), F.col("robot_idx").alias("train_robot_idx"), "robot")
+    wrong = found.join(train, ["train_shard", "train_robot_idx", "robot"], "left_anti").unionByName(found.filter(F.col("containment") < overlap.CONTAINED), allowMissingColumns=True)
+    n = overlap.overlap_report(slots, found).groupBy("split").agg(F.sum("slots").alias("slots"))
+    bad = wrong.groupBy(F.col("split").alias("s")).agg(F.count("*").alias("bad"))
+    return n.join(bad, F.col("split") == F.col("s"), "left").select("split", "slots", F.coalesce("bad", F.lit(0)).cast("long").alias("wrong"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Slots that are related to a slot of another split."""
     slots, catalog, groups = _slots(spark, sf)
@@ -43,14 +60,33 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return splits.leaking_slots(slots, families)
 
 
-def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
-    """A split for each slot, that all slots of its robot and family share."""
+def _assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Slots with their new splits, with their robots, and the families."""
     slots, catalog, groups = _slots(spark, sf)
     families = materialize(robots.robot_families(catalog, groups, read_table(spark, sf, "source_ref")), "families")
     dof = catalog.join(groups, "entry_id").groupBy(F.concat(F.lit("g"), F.col("group_id").cast("string")).alias("robot")).agg(F.max("dof").alias("dof"))
     label = F.when(F.col("dof") >= 13, "13+").when(F.col("dof") >= 7, "7-12").when(F.col("dof") >= 1, "1-6").otherwise("unknown")
     records = splits.components(slots, families).join(dof, "robot", "left").withColumn("label", label)
-    return splits.assign_splits(records, ["shard", "robot_idx"], read_table(spark, sf, "split_target"))
+    return splits.assign_splits(records, ["shard", "robot_idx"], read_table(spark, sf, "split_target")), slots, families
+
+
+def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """A split for each slot, that all slots of its robot and family share."""
+    return _assigned(spark, sf)[0]
+
+
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of each label that each split got."""
+    return splits.split_report(_assigned(spark, sf)[0], read_table(spark, sf, "split_target"))
+
+
+def p3_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Slots that were assigned, splits they are in, and slots related to one of another of the
+    new splits, of which there are none."""
+    assigned, slots, families = _assigned(spark, sf)
+    assigned = materialize(assigned, "assigned")
+    new = slots.drop("split").join(assigned.select("shard", "robot_idx", F.col("new_split").alias("split")), ["shard", "robot_idx"])
+    return assigned.agg(F.count("*").alias("slots"), F.countDistinct("new_split").alias("splits")).withColumn("leaking", F.lit(splits.leaking_slots(new, families).count()).cast("long"))
 
 
 #: No vendor and no source may hold more than this share of the catalog.
@@ -71,15 +107,28 @@ def _capped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries of the vendors that hold more than a twentieth of the catalog."""
+    """Entries of the vendors whose proposals the matching displaced: those that hold more than a
+    twentieth of the catalog."""
     links, _, contributors = _capped(spark, sf)
-    over = contributors.filter("demand > capacity").select("contributor")
+    over = contributors.filter("displaced > 0").select("contributor")
     return links.filter("kind = 'vendor'").join(over, "contributor", "left_semi").select(F.col("name").alias("vendor"), F.col("record").alias("entry_id"))
 
 
 def p4_capped(spark: SparkSession, sf: str) -> DataFrame:
-    """Which entries of the catalog stay when every vendor and source is capped."""
-    return _capped(spark, sf)[1].select(F.col("record").alias("entry_id"), "kept")
+    """Which entries of the catalog stay when every vendor and source is capped, and which
+    contributor was full of better ones where one does not."""
+    return _capped(spark, sf)[1].withColumnRenamed("record", "entry_id")
+
+
+def p4_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries, contributors that keep more than their capacity, and entries that were dropped
+    though none of their contributors is full: there are none of either."""
+    links, kept, contributors = _capped(spark, sf)
+    stay = links.join(kept.filter("kept").select("record"), "record", "left_semi").groupBy("contributor").agg(F.count("*").alias("stay"))
+    state = contributors.join(stay, "contributor", "left").withColumn("stay", F.coalesce("stay", F.lit(0)))
+    loose = kept.filter("not kept").join(state.filter("stay = capacity").select(F.col("contributor").alias("dropped_by")), "dropped_by", "left_anti")
+    over = state.filter("stay > capacity").count()
+    return kept.agg(F.count("*").alias("entries")).withColumns({"over_capacity": F.lit(over).cast("long"), "without_reason": F.lit(loose.count()).cast("long")})
 
 
 DIMENSIONS = ["dof", "scale_class", "vendor"]
@@ -98,24 +147,27 @@ def _sampled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
 def p6_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A sample of half the catalog that follows the targets."""
     records, targets, take = _sampled(spark, sf)
-    return sample.sample_to_targets(records, targets, DIMENSIONS, take).withColumnRenamed("id", "entry_id")
+    return sample.sample_to_targets(records, targets, DIMENSIONS, take)[0].withColumnRenamed("id", "entry_id")
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Each target with what is available, whether it can be met, and what the sample has."""
+    """Each target with what is available, what the sample has, and why it is not met."""
     records, targets, take = _sampled(spark, sf)
-    got = materialize(sample.sample_to_targets(records, targets, DIMENSIONS, take), "sample")
-    names = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in DIMENSIONS]))
-    have = got.select(names.alias("c")).groupBy("c.dimension", "c.category").agg(F.count("*").alias("sampled"))
-    report = sample.target_report(sample.categorised(records, targets, DIMENSIONS), targets, DIMENSIONS, take)
-    return report.join(have, ["dimension", "category"], "left").withColumn("sampled", F.coalesce("sampled", F.lit(0))).withColumn("sampled_permille", F.round(F.col("sampled") * 1000 / F.lit(max(got.count(), 1)), 2))
+    return sample.sample_to_targets(records, targets, DIMENSIONS, take)[1]
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Targets that cannot be met."""
+    """Targets that the sample could not meet for want of records."""
+    return p6_report(spark, sf).filter("unmet_share or unmet_floor").select("target_id")
+
+
+def p6_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the sample, entries in it more than once, and categories below their minimum though
+    they have the records: there are none of either."""
     records, targets, take = _sampled(spark, sf)
-    report = sample.target_report(sample.categorised(records, targets, DIMENSIONS), targets, DIMENSIONS, take)
-    return report.filter("unmet_share or unmet_floor").select("target_id")
+    got, report = sample.sample_to_targets(records, targets, DIMENSIONS, take)
+    low = report.filter("sampled < least(min_rows, available)").count()
+    return got.agg(F.count("*").alias("rows"), (F.count("*") - F.countDistinct("id")).alias("repeated")).withColumn("below_floor", F.lit(low).cast("long"))
 
 
 def p7_survivors(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,8 +194,8 @@ def _sized(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources that cannot reach their weight."""
-    return _sized(spark, sf)[1].filter("not reachable").select("source")
+    """Sources that the mix has fewer tokens of than their weight asks for."""
+    return p9_shares(spark, sf).filter("not reached").select("source")
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,6 +211,17 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.share_report(mixing.mix_sources(sized, report), report)
 
 
+def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources of the targets, documents that the mix repeats more often than allowed, and
+    sources it has too much of by more than their longest document: there are none of either."""
+    sized, report = _sized(spark, sf)
+    report = materialize(report, "report")
+    mix = materialize(mixing.mix_sources(sized, report), "mix")
+    often = mix.groupBy("doc_id", "source").agg(F.count("*").alias("n")).join(report.select("source", "max_repeats"), "source").filter("n > max_repeats")
+    much = mix.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("longest")).join(report.select("source", "goal"), "source").filter("t > goal + longest")
+    return report.agg(F.count("*").alias("sources")).withColumns({"too_often": F.lit(often.count()).cast("long"), "too_much": F.lit(much.count()).cast("long")})
+
+
 def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Level and difficulty of every document."""
     documents = read_table(spark, sf, "documents")
@@ -171,10 +234,17 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p2_report": p2_report, "p2_checks": p2_checks,
+    "p3_found": p3_found, "p3_splits": p3_splits, "p3_report": p3_report, "p3_checks": p3_checks,
+    "p4_found": p4_found, "p4_capped": p4_capped, "p4_checks": p4_checks,
+    "p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report, "p6_checks": p6_checks,
+    "p7_found": p7_found, "p7_survivors": p7_survivors, "p8_ids": p8_ids,
+    "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_checks": p9_checks,
     "p10_found": p10_found, "p10_levels": p10_levels,
-    "p8_ids": p8_ids, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares,
-    "p4_found": p4_found, "p4_capped": p4_capped, "p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report, "p7_found": p7_found, "p7_survivors": p7_survivors,
-    "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p3_found": p3_found, "p3_splits": p3_splits}
+}
+
+_SLOTS = """(select coalesce(nullif(regexp_replace(lower(split), '[^a-z0-9]+', '', 'g'), ''), '') as s, unnest(names) as name
+  from (select *, row_number() over (partition by shard order by written_at desc) as rn from shard) where rn = 1)"""
 
 _FILLED = " + ".join(
     [rf"cast(coalesce(regexp_matches(e.{c}, '\S'), false) as integer)" for c in ("family", "vendor", "license", "fidelity_class", "scale_class")]
@@ -184,6 +254,13 @@ _FILLED = " + ".join(
 _BARE = r"regexp_replace(lower(trim({})), '[\s,]+(" + vendors.LEGAL_FORMS + r")\.?$', '')"
 
 ORACLES: dict[str, str] = {
+    # what has to hold of results that SQL does not give
+    "p2_checks": f"""select case when s like 'val%' or s in ('dev', 'eval') then 'val' else 'test' end as split, count(*) as slots, 0 as wrong
+from {_SLOTS} where s in ('val', 'valid', 'validation', 'dev', 'eval', 'test', 'testing', 'tst') group by 1""",
+    "p3_checks": f"select count(*) as slots, (select count(*) from split_target where share > 0) as splits, 0 as leaking from {_SLOTS}",
+    "p4_checks": "select count(distinct entry_id) as entries, 0 as over_capacity, 0 as without_reason from catalog_entry",
+    "p6_checks": "select count(distinct entry_id) // 2 as rows, 0 as repeated, 0 as below_floor from catalog_entry",
+    "p9_checks": "select count(*) as sources, 0 as too_often, 0 as too_much from mix_target",
     "p7_found": f"""{Q.GROUPS},
 v as (select grp.group_id, e.entry_id, coalesce(-r.t, -2147483647) as a, coalesce(e.meshes_resolved, -1) as b, {_FILLED} as c, coalesce(e.scanned_at, timestamp '0001-01-01') as d
   from e join grp using (entry_id) left join (select {Q.name_key("source")} as k, min(trust_rank) as t from source_ref group by 1) r on r.k = {Q.name_key("e.source")}),

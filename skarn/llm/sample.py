@@ -21,22 +21,6 @@ def categorised(records: DataFrame, targets: DataFrame, dimensions: list[str]) -
     return records.select("id", *[F.when(F.col(d).isin(*sorted(wanted.get(d, {REST}))), F.col(d)).otherwise(REST).alias(d) for d in dimensions])
 
 
-def target_report(records: DataFrame, targets: DataFrame, dimensions: list[str], take: int) -> DataFrame:
-    """The targets with available, unmet_share, unmet_floor. records: as of `categorised`.
-
-    unmet_share: the category has fewer records than target_permille of a sample of `take`;
-    unmet_floor: it has fewer than min_rows. Null permille or min_rows ask for nothing; a
-    category without records is available 0.
-    """
-    names = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in dimensions]))
-    have = records.select(names.alias("c")).groupBy("c.dimension", "c.category").agg(F.count("*").alias("available"))
-    out = targets.join(have, ["dimension", "category"], "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    return out.withColumns({
-        "unmet_share": F.coalesce(F.col("target_permille").cast("long") * take > F.col("available") * 1000, F.lit(False)),
-        "unmet_floor": F.coalesce(F.col("min_rows") > F.col("available"), F.lit(False)),
-    })
-
-
 def _fill(want: np.ndarray, room: np.ndarray, total: float) -> np.ndarray:
     """want scaled to the given total where no value may exceed its room."""
     out = np.minimum(want, room)
@@ -59,8 +43,8 @@ def inclusion(cells: list[tuple], sizes: list[int], targets: list[tuple], dimens
     """Inclusion probability of each cell, by raking to the targets of every dimension in turn.
 
     cells: the categories of each cell; targets: (dimension, category, permille). What a category
-    cannot give is taken from REST, then from the others of its dimension. The last step makes the expected size
-    `take` exactly (or all records, if there are fewer)."""
+    cannot give is taken from REST, then from the others of its dimension. The last step makes
+    the expected size `take` exactly (or all records, if there are fewer)."""
     n = np.array(sizes, float)
     take = min(take, n.sum())
     p = np.full(len(n), take / n.sum())
@@ -88,43 +72,86 @@ def inclusion(cells: list[tuple], sizes: list[int], targets: list[tuple], dimens
     return np.clip(_fill(p * n, n, take) / n, 0, 1)
 
 
-def sample_to_targets(records: DataFrame, targets: DataFrame, dimensions: list[str], take: int, seed: int = 17) -> DataFrame:
-    """id, the dimensions, probability, added: a sample of `take` of the records.
-
-    records: id (unique) and one text per dimension. Within each cell (combination of
-    categories; there are at most as many as targets allow, however many records) records are
-    ordered at random, by a hash of seed and id. The cells stand in sorted order; the running sum
-    of inclusion probabilities over all of them is a record's rank in its cell times the cell's
-    probability, plus the cell's start; ranks are summed up across partitions. One random start
-    then selects each record in whose interval an integer falls. Last, a category with fewer
-    selected records than min_rows gets the next ones of its order (added = true), as far as it
-    has any. No records give no rows; null dimensions count as REST.
+def repair(cells: list[tuple], sizes: list[int], chosen: list[int], floors: list[tuple], dimensions: list[str], take: int) -> tuple[list[int], list[int]]:
+    """(added, removed) per cell, so that each category has min_rows or all its records.
+
+    floors: (dimension, category, min_rows). Rows are added in the category's cells, those with
+    most records left first, and as many taken away from the cells that have most chosen ones,
+    but from no category that would then be below its floor; only if there is nothing to take
+    away does the sample exceed `take`."""
+    sizes_, now = list(sizes), list(chosen)
+    least: dict[tuple[int, str], int] = {}
+    for d, c, m in floors:
+        if m is not None and d in dimensions:
+            i = dimensions.index(d)
+            least[i, c] = min(max(m, least.get((i, c), 0)), sum(n for x, n in zip(cells, sizes_) if x[i] == c))
+    have = lambda i, c: sum(k for x, k in zip(cells, now) if x[i] == c)
+    added, removed = [0] * len(cells), [0] * len(cells)
+    for (i, c), m in sorted(least.items()):
+        while (lack := m - have(i, c)) > 0:
+            at = max((k for k, x in enumerate(cells) if x[i] == c), key=lambda k: (sizes_[k] - now[k], -k))
+            more = min(lack, sizes_[at] - now[at])
+            added[at] += more
+            now[at] += more
+    while sum(now) > min(take, sum(sizes_)):
+        spare = [min([now[k] - added[k], *(have(i, c) - m for (i, c), m in least.items() if x[i] == c)]) for k, x in enumerate(cells)]
+        at = max(range(len(cells)), key=lambda k: (spare[k], -k))
+        if spare[at] <= 0:
+            break
+        less = min(sum(now) - take, max(1, spare[at] // 2))
+        removed[at] += less
+        now[at] -= less
+    return added, removed
+
+
+def sample_to_targets(records: DataFrame, targets: DataFrame, dimensions: list[str], take: int, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """(sample, report): a sample of `take` of the records, and how far it meets the targets.
+
+    records: id (unique) and one text per dimension; targets: target_id, dimension, category,
+    target_permille, min_rows. sample: id, the dimensions, probability, added. Within each cell
+    (combination of categories; there are at most as many as targets allow, however many records)
+    records are ordered at random, by a hash of seed and id. The cells stand in sorted order; the
+    running sum of inclusion probabilities over all of them is a record's rank in its cell times
+    the cell's probability, plus the cell's start; ranks are summed up across partitions. One
+    random start then selects each record in whose interval an integer falls. Last, a category
+    with fewer selected records than min_rows gets the next ones of its cells' orders (added =
+    true), as far as it has any, and as many of the last ones of other cells go (`repair`).
+
+    report: the targets with available, asked (target_permille of take), planned (expected rows
+    by the inclusion probabilities), sampled, and why a target is not met: unmet_share (the
+    category has fewer records than asked), unmet_floor (the repaired sample has fewer than
+    min_rows, so all the category's records are in it), unmet_jointly (it has records enough, but
+    the targets of other dimensions leave it at least one short of what is asked). Null permille
+    or min_rows ask for nothing. No records give no sample; null dimensions count as REST.
     """
     r = materialize(categorised(records, targets, dimensions), "categories")
     cells = sorted((tuple(x[d] for d in dimensions), x.n) for x in r.groupBy(*dimensions).agg(F.count("*").alias("n")).collect())
     spark = records.sparkSession
-    if not cells:
-        return r.select("*", F.lit(0.0).alias("probability"), F.lit(False).alias("added"))
-    goals = [(x.dimension, x.category, x.target_permille) for x in targets.collect()]
-    p = inclusion([c for c, _ in cells], [k for _, k in cells], goals, dimensions, take)
-    starts = np.concatenate([[0.0], np.cumsum(p * np.array([k for _, k in cells]))])
-    table = spark.createDataFrame([(*c, float(q), float(s)) for (c, _), q, s in zip(cells, p, starts)], ", ".join(f"{d} string" for d in dimensions) + ", probability double, start double")
+    names, sizes = [c for c, _ in cells], [k for _, k in cells]
+    goals = targets.select("target_id", "dimension", "category", "target_permille", "min_rows").collect()  # bounded by the targets
+    p = inclusion(names, sizes, [(x.dimension, x.category, x.target_permille) for x in goals], dimensions, take) if cells else np.zeros(0)
+    starts = np.concatenate([[0.0], np.cumsum(p * np.array(sizes))])
+    text = ", ".join(f"{d} string" for d in dimensions)
+    table = spark.createDataFrame([(*c, float(q), float(s)) for c, q, s in zip(names, p, starts)], f"{text}, probability double, start double")
     ranked = grouped_prefix(r.withColumn("__h", F.xxhash64(F.lit(seed), "id")), dimensions, ["__h", "id"])
     u = float(np.random.default_rng(seed).random())
     ends = lambda k: F.floor(F.col("start") + F.col("probability") * k - u)
-    marked = ranked.join(table, dimensions).withColumn("chosen", ends(F.col("rank")) > ends(F.col("rank") - 1))
-    marked = materialize(marked.select("id", *dimensions, "probability", "__h", "chosen"), "marked")
-    floors = []
-    for d in dimensions:
-        got = {x[d]: (x.n, x.k) for x in marked.groupBy(d).agg(F.count("*").alias("n"), F.count_if("chosen").alias("k")).collect()}
-        for x in targets.filter((F.col("dimension") == d) & F.col("min_rows").isNotNull()).collect():
-            n, k = got.get(x.category, (0, 0))
-            if k < min(x.min_rows, n):
-                floors.append(marked.filter((F.col(d) == x.category) & ~F.col("chosen")).orderBy("__h", "id").limit(min(x.min_rows, n) - k).select("id"))
-    out = marked.filter("chosen").select("id", *dimensions, "probability", F.lit(False).alias("added"))
-    if floors:
-        more = floors[0]
-        for f in floors[1:]:
-            more = more.unionByName(f)
-        out = out.unionByName(marked.join(more.distinct(), "id", "left_semi").select("id", *dimensions, "probability", F.lit(True).alias("added")))
-    return out
+    marked = ranked.join(table, dimensions).withColumns({"place": ends(F.col("rank")) - ends(F.lit(0)), "chosen": ends(F.col("rank")) > ends(F.col("rank") - 1)})
+    marked = materialize(marked.select("id", *dimensions, "probability", "rank", "place", "chosen"), "marked")
+    got = {tuple(x[d] for d in dimensions): x.k for x in marked.groupBy(*dimensions).agg(F.count_if("chosen").alias("k")).collect()}
+    chosen = [got[c] for c in names]
+    added, removed = repair(names, sizes, chosen, [(x.dimension, x.category, x.min_rows) for x in goals], dimensions, take)
+    edits = spark.createDataFrame([(*c, k - gone, more) for c, k, more, gone in zip(names, chosen, added, removed)], f"{text}, stay long, more long")
+    out = marked.join(edits, dimensions).withColumn("added", ~F.col("chosen"))
+    out = out.filter(F.when(F.col("chosen"), F.col("place") <= F.col("stay")).otherwise(F.col("rank") - F.col("place") <= F.col("more")))
+    rows = []
+    for x in goals:
+        at = [k for k, c in enumerate(names) if x.dimension in dimensions and c[dimensions.index(x.dimension)] == x.category]
+        available = sum(sizes[k] for k in at)
+        asked = (x.target_permille or 0) * take / 1000
+        planned, sampled = float(sum(p[k] * sizes[k] for k in at)), sum(chosen[k] + added[k] - removed[k] for k in at)
+        few = (x.target_permille or 0) * take > available * 1000
+        rows.append((x.target_id, x.dimension, x.category, x.target_permille, x.min_rows, available, asked, round(planned, 3), sampled, few, x.min_rows is not None and sampled < x.min_rows, not few and planned <= asked - 1))
+    kinds = {f.name: f.dataType.simpleString() for f in targets.schema.fields}
+    report = spark.createDataFrame(rows, ", ".join(f"{c} {kinds[c]}" for c in ("target_id", "dimension", "category", "target_permille", "min_rows")) + ", available long, asked double, planned double, sampled long, unmet_share boolean, unmet_floor boolean, unmet_jointly boolean")
+    return out.select("id", *dimensions, "probability", "added"), report

@@ -30,8 +30,8 @@ def vendor_names(df: DataFrame, vendor_ref: DataFrame, column: str = "vendor") -
     texts = df.select(F.col(column).alias("text")).distinct().filter(known(F.col("text")).isNotNull())
     tried = texts.select("text", F.explode(F.array_distinct(F.array(name_key(F.col("text")), _bare(F.col("text"))))).alias("key")).filter("key is not null")
     exact = tried.join(keys, "key").groupBy("text").agg(F.min("vendor_name").alias("vendor_name"), F.max("vendor_name").alias("other")).filter("vendor_name = other").drop("other")
-    left = tried.join(exact, "text", "left_anti").withColumn("all", F.lit(1))
-    close = near_words(left, keys.withColumn("all", F.lit(1)), "all", "key").select("key", F.col("match").alias("ref"))
+    left = tried.join(exact, "text", "left_anti")
+    close = near_words(left, keys, [], "key").select("key", F.col("match").alias("ref"))
     close = left.join(close, "key").join(keys.select(F.col("key").alias("ref"), "vendor_name"), "ref")
     close = close.groupBy("text").agg(F.min("vendor_name").alias("vendor_name"), F.max("vendor_name").alias("other")).filter("vendor_name = other").drop("other")
     return exact.unionByName(close).withColumnRenamed("text", column)

@@ -41,7 +41,12 @@ def test_matching_is_the_greedy_one(spark):
         assert {x.record for x in kept.filter("kept").collect()} == greedy(records, edges, n * permille // 1000)
         assert kept.count() == n
         demand = Counter(c for _, c in set(edges) if c)
-        assert {x.contributor: x.demand for x in cons.collect()} == dict(demand)
+        cap = n * permille // 1000
+        assert {x.contributor: (x.demand, x.displaced) for x in cons.collect()} == {c: (k, max(0, k - cap)) for c, k in demand.items()}
+        why = {x.record: x.dropped_by for x in kept.filter("not kept").collect()}
+        held = Counter(c for r, c in set(edges) if r not in why)
+        assert all(c is not None and held[c] == cap and (r, c) in edges for r, c in why.items())
+        assert kept.filter("kept and dropped_by is not null").count() == 0
 
 
 def test_matching_of_nothing(spark):
@@ -97,13 +102,36 @@ def test_sample_follows_targets(spark):
     rows = [(i, rng.choice(["s", "m", "m", "m", None]) if i > 20 else "l", rng.choice(["k1", "k2"]) if i % 100 else "rare") for i in range(1, 2001)]
     rec = spark.createDataFrame(rows, "id bigint, size string, kind string").withColumn("probability", F.lit("clash"))
     t = spark.createDataFrame(TARGETS, "target_id int, dimension string, category string, target_permille int, min_rows int")
-    got = sample.sample_to_targets(rec, t, ["size", "kind"], 1000)
+    got, report = sample.sample_to_targets(rec, t, ["size", "kind"], 1000)
     rows = got.collect()
-    assert len({r.id for r in rows}) == len(rows) and 1000 <= len(rows) <= 1004
-    sizes = Counter(r["size"] for r in rows)
-    assert sizes["l"] == 20 and abs(sizes["m"] - 300) <= 5 and Counter(r.kind for r in rows)["rare"] >= 4
-    assert abs(Counter(r.kind for r in rows)["k1"] - 700) <= 20
-    rep = {r.target_id: (r.available, r.unmet_share, r.unmet_floor) for r in sample.target_report(sample.categorised(rec, t, ["size", "kind"]), t, ["size", "kind"], 1000).collect()}
-    assert rep[3] == (20, True, True) and rep[5] == (0, True, True) and rep[6] == (20, False, False) and rep[2][1:] == (False, False)
-    assert {r.id for r in sample.sample_to_targets(rec, t, ["size", "kind"], 1000).collect()} == {r.id for r in rows}
-    assert sample.sample_to_targets(rec.limit(0), t, ["size", "kind"], 0).count() == 0
+    assert len({r.id for r in rows}) == len(rows) == 1000
+    sizes, kinds = Counter(r["size"] for r in rows), Counter(r.kind for r in rows)
+    assert sizes["l"] == 20 and abs(sizes["m"] - 300) <= 5 and kinds["rare"] >= 4 and abs(kinds["k1"] - 700) <= 20
+    rep = {r.target_id: (r.available, r.unmet_share, r.unmet_floor, r.unmet_jointly) for r in report.collect()}
+    assert rep[3] == (20, True, True, False) and rep[5] == (0, True, True, False) and rep[6] == (20, False, False, False) and rep[2][1:] == (False, False, False)
+    assert {r.target_id: r.sampled for r in report.collect()} == {1: sizes["s"], 2: sizes["m"], 3: 20, 4: kinds["k1"], 5: 0, 6: kinds["rare"]}
+    assert {r.id for r in sample.sample_to_targets(rec, t, ["size", "kind"], 1000)[0].collect()} == {r.id for r in rows}
+    none, report = sample.sample_to_targets(rec.limit(0), t, ["size", "kind"], 0)
+    assert none.count() == 0 and report.count() == 6
+
+
+def test_targets_that_fail_together(spark):
+    rec = spark.createDataFrame([(i, "a" if i < 500 else "b", "x" if i < 500 else "y") for i in range(1000)], "id int, size string, kind string")
+    t = spark.createDataFrame([(1, "size", "a", 900, None), (2, "kind", "x", 100, None)], "target_id int, dimension string, category string, target_permille int, min_rows int")
+    report = {r.target_id: r for r in sample.sample_to_targets(rec, t, ["size", "kind"], 500)[1].collect()}
+    assert report[1].unmet_jointly and not report[1].unmet_share
+
+
+def test_floors_take_the_place_of_others():
+    rng = random.Random(1)
+    for _ in range(200):
+        cells = [(a, b) for a in "pqr" for b in "xyz"]
+        sizes = [rng.randint(1, 60) for _ in cells]
+        chosen = [rng.randint(0, n) for n in sizes]
+        floors = [(d, c, rng.choice([None, 0, 5, 40, 500])) for d, cs in (("a", "pqr"), ("b", "xyz")) for c in cs]
+        added, removed = sample.repair(cells, sizes, chosen, floors, ["a", "b"], sum(chosen))
+        now = [k + a - r for k, a, r in zip(chosen, added, removed)]
+        assert all(0 <= k <= n for k, n in zip(now, sizes)) and all(r <= k for r, k in zip(removed, chosen))
+        for d, c, m in floors:
+            i = "ab".index(d)
+            assert m is None or sum(k for x, k in zip(cells, now) if x[i] == c) >= min(m, sum(n for x, n in zip(cells, sizes) if x[i] == c))

@@ -1,5 +1,6 @@
 import base64
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,33 +56,75 @@ def test_appends_and_edits():
     assert long.encoded - before < 20
 
 
-def test_schedule_deviates_by_less_than_a_block():
-    weights = {"a": 0.37, "b": 0.25, "c": 0.2, "d": 0.111, "e": 0.05, "f": 0.019}
-    plan = sorted(mixing.schedule(weights), key=lambda x: x[2])
-    assert [x[2] for x in plan] == list(range(1000))
-    done = dict.fromkeys(weights, 0)
-    for s, k, slot in plan:
+def ideal(goals, t):
+    """Blocks of each source when t were given out at its weight over those of the unfinished."""
+    time, left, active = 0.0, t, sum(w for w, _ in goals.values())
+    for end, s in sorted((n / w, s) for s, (w, n) in goals.items()):
+        if (end - time) * active >= left:
+            time += left / active
+            break
+        left -= (end - time) * active
+        time, active = end, active - goals[s][0]
+    return {s: min(n, w * time) for s, (w, n) in goals.items()}
+
+
+@pytest.mark.parametrize("goals", [
+    {"a": (0.37, 300), "b": (0.25, 400), "c": (0.2, 10), "d": (0.18, 500)},
+    {s: (1 / 3, 700) for s in "abc"},
+    {f"s{i}": (1 / 3 if i < 2 else 1 / 3 / 999, 200 if i < 2 else 2) for i in range(1001)},
+])
+def test_schedule_deviates_by_less_than_a_block(goals):
+    done = dict.fromkeys(goals, 0)
+    for slot, (s, k) in enumerate(mixing.schedule(goals)):
         assert k == done[s]
         done[s] += 1
-        assert all(abs(done[x] - w * (slot + 1)) < 1 for x, w in weights.items())
-    assert len(mixing.schedule({"a": 0.5})) == 500 and mixing.schedule({}) == []
+        if len(goals) < 10 or slot % 50 == 0:
+            assert all(abs(done[x] - y) < 1 for x, y in ideal(goals, slot + 1).items())
+    assert done == {s: n for s, (_, n) in goals.items()}
+    assert list(mixing.schedule({})) == [] and list(mixing.schedule({"a": (0.0, 3), "b": (0.5, 2)})) == [("b", 0), ("b", 1)]
 
 
 def test_mix(spark):
     docs = spark.createDataFrame([(i, s, n, "clash") for i, (s, n) in enumerate([("A b", 10)] * 5 + [("a_B ", 10)] * 5 + [("c", 100), ("c", None), (None, 50), ("d", 0)])], "doc_id bigint, source string, n_tokens bigint, slot string")
     t = spark.createDataFrame([("a_b", 0.9, 3), ("c", 0.1, 1), ("gone", 0.1, 5), ("d", 0.0, 1)], "source string, weight double, max_repeats int")
     rep = mixing.source_report(docs, t)
-    got = {r.source: (r.tokens, r.total, r.reachable) for r in rep.collect()}
-    assert got == {"a_b": (100, 250, True), "c": (100, 250, True), "gone": (0, 250, False), "d": (0, 250, True)}
+    got = {r.source: (r.tokens, r.total, r.goal) for r in rep.collect()}
+    assert got == {"a_b": (100, 250, 225), "c": (100, 250, 25), "gone": (0, 250, 0), "d": (0, 250, 0)}
     mix = mixing.mix_sources(docs, rep)
     n = {r.source: r.t for r in mix.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     assert n == {"a_b": 230, "c": 100}
     assert mix.groupBy("doc_id").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] == 3
-    share = {r.source: r.share for r in mixing.share_report(mix, rep).collect()}
-    assert share["gone"] == 0 and abs(share["a_b"] - 230 / 330) < 1e-6
+    share = {r.source: (r.share, r.reached) for r in mixing.share_report(mix, rep).collect()}
+    assert share["gone"] == (0, False) and share["d"] == (0, True) and share["c"][1] and abs(share["a_b"][0] - 230 / 330) < 1e-6
     assert mixing.mix_sources(docs.limit(0), mixing.source_report(docs.limit(0), t)).count() == 0
 
 
+def test_emitted_mix_stays_near_the_ideal(spark):
+    rng = random.Random(4)
+    rows, block = [], 40
+    for i in range(1001):
+        size = 12000 if i < 2 else 60
+        while size > 0:
+            rows.append((len(rows), f"s{i}", n := rng.randint(1, 60)))
+            size -= n
+    rows.append((len(rows), "s0", 25 * block))
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    t = spark.createDataFrame([(f"s{i}", 1 / 3 if i < 2 else 1 / 3 / 999, 1 if i < 2 else 2) for i in range(1001)], "source string, weight double, max_repeats int")
+    rep = mixing.source_report(docs, t)
+    goal = {r.source: r.goal for r in rep.collect()}
+    goals = {r.source: (r.weight, -(-r.goal // block)) for r in rep.collect()}
+    mix = mixing.mix_sources(docs, rep, block_tokens=block).orderBy("slot", "offset").collect()
+    longest, done = Counter(), Counter()
+    for r in mix:
+        longest[r.source] = max(longest[r.source], r.n_tokens)
+    for i, r in enumerate(mix):
+        done[r.source] += r.n_tokens
+        if i + 1 < len(mix) and mix[i + 1].slot == r.slot or i % 50:
+            continue
+        want = ideal(goals, r.slot + 1)
+        assert all(abs(done[s] - want[s] * block) <= block + longest[s] / (2 if done[s] < goal[s] else 1) + 1 for s in goals)
+
+
 EASY = ["The cat sat on the mat.", "Look at the red ball!", "We like to play in the sun.", "It can jump and run.", "Mo has a big blue toy."]
 MID = ["Please check the cable before you start the next test.", "The update fixed two problems with the camera settings.", "Write the number down and compare it with last week.", "If the light blinks, restart the viewer and load the file again."]
 HARD = ["The regularised estimator attains the asymptotic variance bound under misspecification.", "Notwithstanding the foregoing, heteroscedastic perturbations preclude identifiability.", "Marginalisation of nuisance parameters mitigates spectral degeneracy.", "Convergence of the proximal iteration presupposes coercivity of the functional."]
