@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.sources.tables import discard, materialize, ship
+from skarn.sources.tables import content_order, discard, materialize, ship
 
 
 def hierarchy(df: DataFrame, node: str, parent: str, max_rounds: int = 64) -> DataFrame:
@@ -130,57 +130,100 @@ class Forest:
         self.root = jump
         self.lost = self.up[jump] != jump  # no root after more jumps than there are links
         self.in_cycle[jump[self.lost]] = True
-        self._forked()
-
-    def _forked(self) -> None:
-        """Cycles through a link of several parents: doubling of ancestor sets, on what is left
-        after links without open parents, or without open children, were taken off."""
-        forked = self._forked_rows()
-        open_ = forked[self.row[self.child]] if len(self.child) else np.zeros(0, bool)
-        p, c, n = self.parent[open_], self.child[open_], len(self.row)
-        while len(p):
-            has_parent, has_child = np.zeros(n, bool), np.zeros(n, bool)
-            has_parent[c] = has_child[p] = True
-            keep = has_parent[p] & has_child[c]
-            if keep.all():
-                break
-            p, c = p[keep], c[keep]
-        link, above = _closure(c, p, n)
-        self.in_cycle[link[link == above]] = True
-
-    def below_cycles(self) -> np.ndarray:
-        """Whether each link is on a cycle or can be reached from one, by any of its parents."""
-        bad, new = self.in_cycle.copy(), self.in_cycle
-        while new.any():
-            reached = np.zeros(len(bad), bool)
-            reached[self.child[new[self.parent]]] = True
-            new = reached & ~bad
-            bad |= new
-        return bad
+        self._below()
+
+    def _below(self) -> None:
+        """in_cycle of rows where links have several parents, and bad: whether a link is on a
+        cycle or can be reached from one by any of its parents.
+
+        Where every link has one parent, badness doubles along the pointers. What doubling leaves,
+        the rows with forks, is contracted to strongly connected components in one walk over its
+        joints; they come out ancestors first, so the same walk tells what lies below cycles.
+        """
+        n = len(self.row)
+        forked = np.zeros(int(self.row.max()) + 1 if n else 0, bool)
+        forked[self.row[self.fork]] = True
+        self.forked = forked[self.row] if n else np.zeros(0, bool)
+        self.bad, jump = self.in_cycle | self.lost, self.up
+        for _ in range(int(np.bincount(self.row).max()).bit_length() if n else 0):
+            self.bad = self.bad | self.bad[jump]
+            jump = jump[jump]
+        self.part = np.arange(n)  # the component of each link, named by one of its links
+        on = self.forked[self.child] if len(self.child) else np.zeros(0, bool)
+        p, c = self.parent[on], self.child[on]
+        begin = np.searchsorted(c, np.arange(n + 1)).tolist()
+        above = p.tolist()
+        seen, low, loops, bad = [0] * n, [0] * n, self.in_cycle.tolist(), self.bad.tolist()
+        done, held, stack, tick = [False] * n, [], [], 0
+        for start in np.flatnonzero(self.forked).tolist():
+            if seen[start]:
+                continue
+            stack.append((start, begin[start]))
+            while stack:
+                v, at = stack.pop()
+                if at == begin[v]:
+                    tick += 1
+                    seen[v] = low[v] = tick
+                    held.append(v)
+                elif low[above[at - 1]] < low[v] and not done[above[at - 1]]:
+                    low[v] = low[above[at - 1]]
+                while at < begin[v + 1]:
+                    w = above[at]
+                    at += 1
+                    if not seen[w]:
+                        stack += [(v, at), (w, begin[w])]
+                        break
+                    if not done[w] and seen[w] < low[v]:
+                        low[v] = seen[w]
+                else:
+                    if low[v] == seen[v]:
+                        k = len(held) - 1
+                        while held[k] != v:
+                            k -= 1
+                        members, held[k:] = held[k:], []
+                        cyclic = len(members) > 1
+                        down = cyclic or any(loops[m] or any(bad[w] for w in above[begin[m] : begin[m + 1]] if done[w]) for m in members)
+                        for m in members:
+                            done[m], loops[m], bad[m], self.part[m] = True, loops[m] or cyclic, down, v
+        self.in_cycle, self.bad = np.array(loops, bool), np.array(bad, bool)
 
     def ancestors(self) -> tuple[np.ndarray, np.ndarray]:
         """(link, ancestor) over all joints, without the link itself, of the ancestors that no
-        cycle leads to: pointers where no link of the row has several parents, else doubled sets."""
-        node, at, _ = self.chains()
-        forked = self._forked_rows()
-        tree = (node != at) & ~forked[self.row[node]] if len(node) else np.zeros(0, bool)
-        open_ = forked[self.row[self.child]] if len(self.child) else np.zeros(0, bool)
-        link, above = _closure(self.child[open_], self.parent[open_], len(self.row))
-        link, above = np.concatenate([node[tree], link]), np.concatenate([at[tree], above])
-        good = ~self.below_cycles()[above]
-        return link[good], above[good]
-
-    def _forked_rows(self) -> np.ndarray:
-        forked = np.zeros(int(self.row.max()) + 1 if len(self.row) else 0, bool)
-        forked[self.row[self.fork]] = True
-        return forked
-
-    def chains(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node, ancestor, ancestor's depth), the node itself included, of all links with a root."""
-        node = np.flatnonzero(~self.lost)
+        cycle leads to: pointers where no link of the row has several parents. In the other rows
+        each ancestor's links are passed on downwards from component to component, so the work
+        follows the number of pairs there are."""
+        node, at, _ = self.chains(~self.forked)
+        tree = node != at
+        n = max(len(self.row), 1)
+        on = self.forked[self.child] if len(self.child) else np.zeros(0, bool)
+        down, up = self.part[self.child[on]], self.part[self.parent[on]]
+        edges = np.unique((up * n + down)[up != down])  # by ancestor
+        up, down = edges // n, edges % n
+        new = pairs = edges[~self.bad[up]] if len(edges) else edges
+        while len(new):
+            far, link = new // n, new % n
+            begin, size = np.searchsorted(up, link), np.searchsorted(up, link, "right") - np.searchsorted(up, link)
+            step = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            new = np.setdiff1d(np.repeat(far, size) * n + down[step], pairs)
+            pairs = np.union1d(pairs, new)
+        far, part = pairs // n, pairs % n
+        members = np.argsort(self.part, kind="stable")
+        begin, size = np.searchsorted(self.part[members], part), np.searchsorted(self.part[members], part, "right") - np.searchsorted(self.part[members], part)
+        at_member = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.concatenate([node[tree], members[at_member]]), np.concatenate([at[tree], np.repeat(far, size)])
+
+    def chains(self, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, ancestor, ancestor's depth), the node itself included, of all links below no
+        cycle (and marked in `of`). The rows that come out are at least half the square of the
+        passes that this takes. Without `of` the ways up by smallest parents are followed."""
+        node = np.flatnonzero(~self.bad) if of is None else np.flatnonzero(of & ~self.lost)
         at, out = node, []
         while len(node):
-            out.append((node, at, self.depth[at]))
+            if of is not None:
+                good = ~self.bad[at]
+                out.append((node[good], at[good], self.depth[at[good]]))
+            else:
+                out.append((node, at, self.depth[at]))
             more = self.up[at] != at
             node, at = node[more], self.up[at[more]]
         if not out:
@@ -188,45 +231,34 @@ class Forest:
         return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
-def _closure(child: np.ndarray, parent: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(link, ancestor) of all ways up, by doubling of ancestor sets; a link on a cycle is its own."""
-    n = max(n, 1)
-    pairs = np.unique(child * n + parent)
-    while len(pairs):
-        a, b = pairs // n, pairs % n
-        begin, end = np.searchsorted(a, b), np.searchsorted(a, b, "right")
-        size = end - begin
-        far = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        more = np.unique(np.concatenate([pairs, np.repeat(a, size) * n + b[far]]))
-        if len(more) == len(pairs):
-            break
-        pairs = more
-    return pairs // n, pairs % n
-
-
 def _batches(kind: str):
     return _joints_nested if kind == "nested" else _joints_flat
 
 
-def cycle_links(df: DataFrame, key: str, first: str, second: str, kind: str) -> DataFrame:
+def cycle_links(df: DataFrame, key: str, first: str, second: str, kind: str, time: str | None = None) -> DataFrame:
     """(key, link) of each link on a cycle, in the graphs that df's rows hold.
 
     kind 'nested': first is an array of [parent, child] pairs, second the array of flags that
     say which slots hold a joint. kind 'flat': first has the parents, second the children.
     Negative or null ends, pairs that are not two numbers, and slots that only one array has,
-    are no joints; null arrays have none. Rows with a null key are ignored and a key that
-    occurs again counts once. No other column is read.
+    are no joints; null arrays have none. Rows with a null key are ignored; of a key that occurs
+    again the row of the latest time counts, as `newest` has it. No other column is read. The
+    arrays are read once and not shuffled: what is, is a row per graph with its links on cycles.
     """
     ship(df.sparkSession)
     joints = _batches(kind)
+    rows = df.filter(F.col(key).isNotNull()).select(key, first, second, (F.col(time) if time else F.lit(None).cast("timestamp_ntz")).alias("at"), content_order(first, second).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = Forest(*joints(b.column(1), b.column(2)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(f.row[f.in_cycle])), pa.array(f.link[f.in_cycle].astype(np.int32))], ["example_id", "link"])
+            at = np.concatenate([[0], np.cumsum(np.bincount(f.row[f.in_cycle], minlength=b.num_rows))]).astype(np.int32)
+            links = pa.ListArray.from_arrays(pa.array(at), pa.array(f.link[f.in_cycle].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4), links], ["example_id", "at", "h", "links"])
 
-    schema = f"example_id {df.schema[key].dataType.simpleString()}, link int"
-    return df.filter(F.col(key).isNotNull()).select(key, first, second).mapInArrow(run, schema).distinct()
+    found = rows.mapInArrow(run, f"example_id {df.schema[key].dataType.simpleString()}, at {rows.schema['at'].dataType.simpleString()}, h long, links array<int>")
+    last = found.groupBy("example_id").agg(F.max_by("links", F.struct("at", -F.col("h"))).alias("links"))
+    return last.select("example_id", F.explode("links").alias("link"))
 
 
 def link_forest(df: DataFrame, key: str, first: str, second: str, kind: str) -> DataFrame:
@@ -253,10 +285,8 @@ def link_forest(df: DataFrame, key: str, first: str, second: str, kind: str) ->
                 b = whole.slice(start, 2000)
                 f = Forest(*joints(b.column(1), b.column(2)))
                 n, at = len(f.row), np.arange(len(f.row))
-                null = f.below_cycles()
+                null = f.bad
                 node, above, level = f.chains()
-                whole_way = ~null[node]
-                node, above, level = node[whole_way], above[whole_way], level[whole_way]
                 down = np.lexsort((level, node))
                 under, over = f.ancestors()
                 order = np.lexsort((under, over))

@@ -24,8 +24,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Links on cycles, of both tables of examples."""
-    shard = cycle_links(read_table(spark, sf, "shard_example"), "example_id", "joint_topology", "joint_valid", "nested")
-    train = cycle_links(read_table(spark, sf, "training_example"), "example_id", "joint_parents", "joint_children", "flat")
+    shard = cycle_links(read_table(spark, sf, "shard_example"), "example_id", "joint_topology", "joint_valid", "nested", "created_at")
+    train = cycle_links(read_table(spark, sf, "training_example"), "example_id", "joint_parents", "joint_children", "flat", "created_at")
     return shard.unionByName(train)
 
 
@@ -40,13 +40,15 @@ QUERIES = {"p1_found": p1_found, "p1_extents": p1_extents, "p5_found": p5_found,
 
 ORACLES = {
     "p5_found": """
-with recursive joint as (
+with recursive s as (select * from (select *, row_number() over (partition by example_id order by created_at desc nulls last) as rn from shard_example) where rn = 1),
+g as (select * from (select *, row_number() over (partition by example_id order by created_at desc nulls last) as rn from training_example) where rn = 1),
+joint as (
   select distinct example_id, t[1] as p, t[2] as c
-  from (select example_id, unnest(joint_topology) as t, unnest(joint_valid) as ok from shard_example)
+  from (select example_id, unnest(joint_topology) as t, unnest(joint_valid) as ok from s)
   where ok and t[1] >= 0 and t[2] >= 0
   union
   select distinct example_id, p, c
-  from (select example_id, unnest(joint_parents) as p, unnest(joint_children) as c from training_example)
+  from (select example_id, unnest(joint_parents) as p, unnest(joint_children) as c from g)
   where p >= 0 and c >= 0),
 walk as (
   select example_id, p as origin, c as place from joint

@@ -11,7 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,16 +79,20 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def content_order(*columns: str) -> Column:
+    """A number that equal rows share, to decide between different rows of one time the same way
+    in every run."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit(2**62 - 1))
+
+
 def newest(df: DataFrame, key: str, time: str | None = None) -> DataFrame:
     """One row per key, the one delivered last; rows without a key are left out.
 
-    Rows that share the newest time are taken to be the same delivery; one of them stays. The
-    rank filter is applied before the shuffle too (a group limit), so a key that is delivered
-    very often costs no more than any other.
+    Of rows that share the newest time the one of the smallest content hash stays, so the choice
+    does not depend on the order of reading. The rank filter is applied before the shuffle too (a
+    group limit), so a key that is delivered very often costs no more than any other.
     """
-    from pyspark.sql import Window
-
     order = [F.col(time).desc_nulls_last()] if time else []
-    w = Window.partitionBy(key).orderBy(*order, F.lit(0))
     kept = [c for c in df.columns]
+    w = Window.partitionBy(key).orderBy(*order, content_order(*[c for c in kept if c not in (key, time)] or [key]))
     return df.filter(F.col(key).isNotNull()).withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").select(*kept)

@@ -1,7 +1,12 @@
+import datetime as dt
 import random
+import time
 from collections import defaultdict
 
-from skarn.operators.hierarchy import cycle_links, descendants, hierarchy, link_forest
+import numpy as np
+
+from skarn.operators.hierarchy import Forest, cycle_links, descendants, hierarchy, link_forest
+from skarn.sources.tables import newest
 
 NESTED = "example_id bigint, topo array<array<int>>, ok array<boolean>, link int, path string"
 
@@ -118,3 +123,28 @@ def test_links_of_several_parents(spark):
             assert (r.root, r.depth, r.path, r.descendants) == ((None,) * 4 if bad else (way[0], len(way) - 1, way, sorted(reach[s])))
             seen += len(up[s]) > 1 and not bad
     assert not got and seen > 50
+
+
+def test_big_ring_with_forks_is_fast():
+    rng = random.Random(5)
+    n = 100_000
+    ring = np.arange(n)
+    extra = np.array([rng.randrange(n) for _ in range(2000)])
+    parent = np.concatenate([ring, extra[:1000], [n, 0]])
+    child = np.concatenate([(ring + 1) % n, extra[1000:], [0, n + 1]])
+    start = time.time()
+    f = Forest(np.zeros(len(parent), np.int64), parent, child)
+    link, above = f.ancestors()
+    assert f.in_cycle[:n].all() and not f.in_cycle[n:].any() and f.bad[n + 1] and not f.bad[n]
+    assert (above == n).all() and sorted(link) == [*range(n), n + 1]
+    assert time.time() - start < 10
+
+
+def test_later_delivery_counts(spark):
+    day = lambda d: dt.datetime(2025, 1, d)
+    rows = [(1, [0, 1], [1, 0], day(1)), (1, [0, 1], [1, 2], day(2)), (2, [0], [1], None), (2, [0], [0], day(1)), (3, [0], [0], day(1)), (3, [5], [6], day(1))]
+    df = spark.createDataFrame(rows, "example_id bigint, p array<int>, c array<int>, t timestamp_ntz")
+    got = {tuple(r) for r in cycle_links(df, "example_id", "p", "c", "flat", "t").collect()}
+    assert got - {(3, 0)} == {(2, 0)}
+    forest = link_forest(newest(df, "example_id", "t").select("example_id", "p", "c"), "example_id", "p", "c", "flat")
+    assert {(r.example_id, r.link) for r in forest.filter("in_cycle").collect()} == got
