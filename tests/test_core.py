@@ -137,7 +137,7 @@ def test_ranks_of_a_hot_group(spark):
     assert {r.id: (r["rank"], r.before) for r in grouped_prefix(df, ["g"], ["id"], "v").collect()} == want
 
 
-@pytest.mark.parametrize("word,unit", [("mm", "mm"), ("Zentimetern", "cm"), ("milímetros", "mm"), ("inches", "in"), ("Zollmaße", "in"), ("feet", "ft"), ("SI", "m"), ("metres", "m"), ("kg", None), ("min", None), ("drawing", None), ("m2", None), ("", None)])
+@pytest.mark.parametrize("word,unit", [("mm", "mm"), ("Zentimetern", "cm"), ("milímetros", "mm"), ("inches", "in"), ("Zollmaße", "in"), ("feet", "ft"), ("SI", "m"), ("metres", "m"), ("kg", None), ("min", None), ("drawing", None), ("m2", None), ("", None), ("decimetres", "dm"), ("yards", "yd"), ("km", "km"), ("µm", "um"), ("nanometres", "nm")])
 def test_unit_words(word, unit):
     assert length_unit(word) == unit
 
@@ -149,6 +149,7 @@ def test_ambiguous_units():
 @pytest.mark.parametrize("note,stated", [
     ("was in cm, box converted to m", "m"), ("unit fixed: now metres (was mm)", "m"), ("inch drawing, box already converted to metres", "m"), ("shell thickness 3 mm", None), ("1 unit = 1 cm", "cm"), ("AABB (in.)", "in"), ("Maße in mm angegeben", "mm"),
     ("lengths: mm; masses: kg", "mm"), ("size given in thousandths of a metre", "mm"), ("mesh exported at 1000:1, box left unscaled", "mm"), ("converted from inches in 2024", None), ("cutter diameter 1/4 in", None), ("one unit is one inch", "in"), ("", None), (None, None), ("x" * 5000, None),
+    ("not in mm", None), ("values in mm, formerly cm", "mm"), ("units: decimetres", "dm"), ("box is not in cm but in mm", "mm"), ("in mm instead of inches", "mm"), ("originally in feet, now in m", "m"), ("min 3 sets, kin chain", None),
 ])
 def test_statements(note, stated):
     assert read_statement(note)[0] == stated
@@ -169,11 +170,13 @@ def test_common_units(spark):
         (1, "Mil", None, None, [500.0, 400.0, 300.0], "clash"), (2, "mil", "extents in metres", None, [0.5, 0.4, 0.3], None), (3, "met", None, "50.1 cm", [0.501, 0.4, 0.3], None), (4, "met", None, "max 50.1 cm", [50.1, 40.0, 30.0], None),
         (5, "met", "1.2 x 0.4 x 0.3 m overall", None, [1200.0, 400.0, 300.0], None), (6, "nix", None, "tabletop", [0.7, 0.5, 0.1], None), (7, "nix", None, None, None, None), (8, "nix", None, None, [0.0, 0.0, 0.0], None), (9, "nix", None, None, [], None),
         (10, None, None, None, [float("nan"), None, 2.0], None), (11, "nix", None, None, [501.2, 400.0, 300.0], None),
+        (12, "mil", "extents in yards", None, [2.0, 1.0, 1.0], None), (13, "mil", "units: decimetres", "tabletop", [7.0, 1.0, 1.0], None),
     ]
     ref = spark.createDataFrame([("mil", "millimetres", None), ("met", None, "probe prints metres"), ("nix", None, None)], "source string, length_unit string, remark string")
     groups = spark.createDataFrame([(i, 3 if i == 11 else i) for i in range(1, 12)], "entry_id bigint, group_id bigint")
     got = {r.entry_id: r for r in common_units(spark.createDataFrame(rows, E), ref, groups).collect()}
-    assert {k: r.unit for k, r in got.items()} == {1: "mm", 2: "m", 3: "m", 4: "cm", 5: "mm", 6: "m", 10: "m", 11: "mm"}
+    assert {k: r.unit for k, r in got.items()} == {1: "mm", 2: "m", 3: "m", 4: "cm", 5: "mm", 6: "m", 10: "m", 11: "mm", 12: "yd", 13: "dm"}
+    assert got[12].extent_m[0] == pytest.approx(1.8288) and got[13].longest_m == pytest.approx(0.7)
     assert got[1].extent_m == pytest.approx([0.5, 0.4, 0.3]) and got[1].size_class == "tabletop" and got[5].evidence == "measured"
     assert common_units(spark.createDataFrame([], E), ref, groups).count() == 0
 
