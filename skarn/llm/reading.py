@@ -25,7 +25,7 @@ MAX_FOREIGN = 800
 PROSE_SHARE = 0.5
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
-_TAG = re.compile(r"<[^<>\n]{0,400}>")
+_TAG = re.compile(r"</?[a-zA-Z!][^<>\n]*>")
 _LEAD = re.compile(r"^[\s>*•·–—\-]*(?:\(?\d{1,3}[.)]\s+)?[\s*•]*")
 _STOP = re.compile(r"(?<=[.!?。！？।؟])[\"'”’)\]]*\s+|(?<=[。！？।])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
@@ -57,7 +57,7 @@ def sentences(text: str | None) -> list[tuple[str, bool]]:
         if not raw or raw.startswith("#"):
             flush()
             continue
-        bare = _TAG.sub(" ", raw) if raw.count("<") < 3 else raw
+        bare = _TAG.sub(" ", raw)
         item = _LEAD.sub("", bare)
         if not item:
             continue
@@ -187,6 +187,24 @@ def rated_levels(ratings: DataFrame) -> DataFrame:
     return votes.join(best, ["doc_id", "n"]).groupBy("doc_id").agg(F.min("level").alias("level"), F.max("level").alias("other")).filter("level = other").select("doc_id", "level")
 
 
+def _smallest(ids: DataFrame, most: int) -> DataFrame:
+    """The rows of the `most` smallest hashes of doc_id, without their texts. The hashes are even,
+    so the rows below a bound that holds somewhat more than enough are counted first and only
+    those are sorted: what meets in one task is about `most` rows at any size of the corpus."""
+    h = (F.xxhash64("doc_id").bitwiseAND(F.lit(2**53 - 1)) / F.lit(2.0**53)).alias("h")
+    keyed = ids.select("*", h)
+    n = ids.count()
+    bound = 1.0 if n <= 2 * most else 1.5 * most / n + 0.001
+    if bound < 1.0 and keyed.filter(F.col("h") < bound).count() < most:
+        bound = 1.0
+    return keyed.filter(F.col("h") < bound).orderBy("h", "doc_id").limit(most)
+
+
+def _texts(documents: DataFrame, ids: DataFrame) -> list:
+    """The texts of few ids, in the order of their hashes."""
+    return documents.select("doc_id", "text").join(ids, "doc_id").orderBy("h", "doc_id").collect()
+
+
 def fit(documents: DataFrame, ratings: DataFrame) -> ReadingModel:
     """The model from rated documents and documents marked as being in another language.
 
@@ -194,14 +212,16 @@ def fit(documents: DataFrame, ratings: DataFrame) -> ReadingModel:
     which the common sentences of a level outvote where raters err), the other half the
     calibration from a document's sentence distribution to its level.
     """
-    order = F.xxhash64("doc_id")
-    text = documents.select("doc_id", "text", F.lower(F.trim("lang")).alias("lang")).filter(F.col("text").rlike(r"\S"))
-    rated = text.join(rated_levels(ratings), "doc_id").orderBy(order, "doc_id").limit(MAX_RATED).select("text", "level").collect()
-    foreign = text.filter(~F.col("lang").isin("en", "eng", "english", "und", "unknown", "")).orderBy(order, "doc_id").limit(MAX_FOREIGN).select("text").collect()
+    filled = documents.filter(F.col("text").rlike(r"\S"))
+    rated_ids = _smallest(filled.select("doc_id").join(rated_levels(ratings), "doc_id"), MAX_RATED)
+    lang = F.lower(F.trim("lang"))
+    foreign_ids = _smallest(filled.filter(~lang.isin("en", "eng", "english", "und", "unknown", "")).select("doc_id"), MAX_FOREIGN)
+    rated = [(r.text, r.level) for r in _texts(documents, rated_ids)]
+    foreign = [r.text for r in _texts(documents, foreign_ids)]
     half = len(rated) // 2
     parts: list[str] = []
     label: list[int] = []
-    for r in [(x.text, LEVELS.index(x.level)) for x in rated[:half]] + [(x.text, len(LEVELS)) for x in foreign]:
+    for r in [(x, LEVELS.index(level)) for x, level in rated[:half]] + [(x, len(LEVELS)) for x in foreign]:
         for s, prose in sentences(r[0]):
             if prose:
                 parts.append(s)
@@ -210,8 +230,8 @@ def fit(documents: DataFrame, ratings: DataFrame) -> ReadingModel:
         parts, label = ["."], [0]
     at, what = features(parts)
     model = ReadingModel(*fit_softmax(at, what, np.array(label), len(CLASSES), FEATURES))
-    x = model.summary([r.text for r in rated[half:]])
-    y = np.array([LEVELS.index(r.level) for r in rated[half:]], int)
+    x = model.summary([x for x, _ in rated[half:]])
+    y = np.array([LEVELS.index(level) for _, level in rated[half:]], int)
     x = np.concatenate([np.log(x[:, :-1] + 0.02), np.ones((len(x), 1))], 1)
     cal = np.concatenate([np.eye(3), np.eye(3), np.zeros((1, 3))]) * 0.5
     for _ in range(400 if len(y) else 0):

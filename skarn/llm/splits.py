@@ -9,8 +9,8 @@ from skarn.operators.graph import connected_components
 from skarn.operators.prefix import grouped_prefix
 from skarn.sources.tables import materialize
 
-#: Components of at least this share of all records are placed one by one; there are at most
-#: 1 / LARGE of them. The others are placed by position in their stratum.
+#: Components of at least this share of all records are placed one by one, since there are at most
+#: 1 / LARGE of them; smaller ones are placed with all others of their size.
 LARGE = 0.001
 
 
@@ -51,18 +51,21 @@ def assign_splits(records: DataFrame, key: list[str], targets: DataFrame) -> Dat
     """key, component, label, new_split: all records of a component in one split.
 
     records: key columns, component, label (a stratum, of which there are few); targets: split,
-    share. Large components are placed one after another where they disturb the shares of all
-    labels least; the many small ones are ordered at random in the stratum of their commonest
-    label, and running sums of their sizes cut each stratum at what the large ones left of each
-    split's share. A null label is the label ''. Components are never cut, so a component larger
-    than any share goes where it disturbs least. Without targets, or records, no rows.
+    share. Components are placed from the largest to the smallest, each size minding what the
+    shares of all labels lack after the larger ones, so that the small ones even out what the
+    large ones disturb. Those of at least LARGE of all records go one after another where they
+    disturb the shares of all labels least. The others go by powers of two of their size: of one
+    size, the components of each stratum (their commonest label) stand in a random order, running
+    sums of their sizes are cut at what each split lacks of the label, and the labels of all
+    records placed are counted again. A null label is the label ''. Components are never cut, so
+    one larger than any share goes where it disturbs least. Without targets, or records, no rows.
     """
     shares = {r.split: float(r.share) for r in targets.filter("split is not null and share > 0").groupBy("split").agg(F.max("share").alias("share")).collect()}
     shares = {k: v / sum(shares.values()) for k, v in sorted(shares.items())}
     if not shares:
         return records.limit(0).select(*key, "component", "label", F.lit("").alias("new_split"))
     r = materialize(records.select(*key, "component", F.coalesce("label", F.lit("")).alias("label")), "records")
-    sizes = r.groupBy("component", "label").agg(F.count("*").alias("n"))
+    sizes = materialize(r.groupBy("component", "label").agg(F.count("*").alias("n")), "labels")
     by_comp = materialize(sizes.groupBy("component").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).select("component", "n", F.col("top.label").alias("stratum")), "sizes")
     totals = {x.label: x.n for x in sizes.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     everything = sum(totals.values())
@@ -81,22 +84,36 @@ def assign_splits(records: DataFrame, key: list[str], targets: DataFrame) -> Dat
         for k, v in counts.items():
             held[best][k] += v
     spark = records.sparkSession
-    small = by_comp.join(big, "component", "left_anti").withColumn("__h", F.xxhash64("component"))
-    ranked = grouped_prefix(small, ["stratum"], ["__h", "component"], "n")
-    cuts = []
-    for label, total in totals.items():
-        left = {s: max(shares[s] * total - held[s][label], 0.0) for s in shares}
-        whole, below = sum(left.values()) or 1.0, 0.0
-        for s in shares:
-            cuts.append((label, s, below / whole, (below + left[s]) / whole))
-            below += left[s]
-    cut = spark.createDataFrame(cuts or [("", "", 0.0, 0.0)], "label string, new_split string, low double, high double")
-    sums = small.groupBy("stratum").agg(F.sum("n").alias("all"))
-    ranked = ranked.join(sums, "stratum").withColumn("at", (F.col("before") + F.col("n") / 2) / F.col("all"))
-    spot = ranked.join(cut, (F.col("stratum") == F.col("label")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).select("component", "new_split")
-    both = spot
+    small = by_comp.join(big, "component", "left_anti").withColumns({"octave": F.floor(F.log2("n")).cast("int"), "__h": F.xxhash64("component")})
+    ranked = materialize(grouped_prefix(small, ["octave", "stratum"], ["__h", "component"], "n"), "ranked")
+    sums = {(x.octave, x.stratum): x.n for x in ranked.groupBy("octave", "stratum").agg(F.sum("n").alias("n")).collect()}  # sizes' logarithms x labels
+    kind = "octave int, label string, new_split string, low double, high double"
+    cuts: list[tuple] = []
+
+    def spots(rows: list[tuple], of: DataFrame) -> DataFrame:
+        cut = spark.createDataFrame(rows, kind).withColumnsRenamed({"octave": "__o", "label": "__l"})
+        middle = F.col("before") + F.col("n") / 2
+        return of.join(cut, (F.col("octave") == F.col("__o")) & (F.col("stratum") == F.col("__l")) & (middle >= F.col("low")) & (middle < F.col("high"))).select("component", "new_split")
+
+    octaves = sorted({o for o, _ in sums}, reverse=True)
+    for octave in octaves:
+        new = []
+        for label in [x for o, x in sums if o == octave]:
+            lack = {s: max(shares[s] * totals[label] - held[s][label], 0.0) for s in shares}
+            if not sum(lack.values()):
+                lack = dict(shares)
+            whole, below = sum(lack.values()), 0.0
+            for k, s in enumerate(shares):
+                top = sums[octave, label] + 1.0 if k + 1 == len(shares) else (below + lack[s]) / whole * sums[octave, label]
+                new.append((octave, label, s, below / whole * sums[octave, label], top))
+                below += lack[s]
+        cuts += new
+        if octave != octaves[-1]:
+            for x in spots(new, ranked.filter(F.col("octave") == octave)).join(sizes, "component").groupBy("new_split", "label").agg(F.sum("n").alias("n")).collect():
+                held[x.new_split][x.label] += x.n
+    both = spots(cuts, ranked)
     if placed:
-        both = spot.unionByName(spark.createDataFrame(list(placed.items()), "component string, new_split string"))
+        both = both.unionByName(spark.createDataFrame(list(placed.items()), "component string, new_split string"))
     return r.join(both, "component").select(*key, "component", "label", "new_split")
 
 
