@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ LICENCE_TEXTS = (
 )
 # Codes of joint types.
 JOINT_CODES = {"revolute": 0, "continuous": 1, "prismatic": 2, "fixed": 3, "floating": 4, "planar": 5}
+# Directories that name no family.
+STOP_DIRS = ("urdfs", "robots", "mjcf", "model", "models", "asset", "assets", "robot_assets")
 PI = 3.141593
 
 
@@ -122,3 +126,20 @@ def joint_code(name: Column) -> Column:
 def clean_label(label: Column, most: int = 64) -> Column:
     """-1 for labels outside 0 .. most - 1."""
     return F.when((label >= 0) & (label < most), label).otherwise(-1)
+
+
+def first_match(path: Column, patterns: list[tuple[str, str]]) -> Column:
+    """(family, vendor) of a path: the first of the (pattern, vendor) pairs whose pattern occurs in
+    it; else the first directory or name that is none of STOP_DIRS, without a vendor. The list is
+    one constant array, searched row by row without a join."""
+    p = F.lower(path)
+    table = F.from_json(F.lit(json.dumps([{"family": a, "vendor": b} for a, b in patterns])), "array<struct<family:string,vendor:string>>")
+    hit = F.get(F.filter(table, lambda x: F.contains(p, x["family"])), F.lit(0))
+    token = F.get(F.filter(F.split(p, r"[/\\\\]"), lambda t: (t != "") & ~t.isin(*STOP_DIRS)), F.lit(0))
+    return F.struct(F.coalesce(hit["family"], token, F.lit("")).alias("family"), F.coalesce(hit["vendor"], F.lit("")).alias("vendor"))
+
+
+def load_status(format_: Column) -> Column:
+    """How an entry of a format is loaded: by the urdf or the mjcf reader, or skipped and why."""
+    f = F.lower(F.trim(format_))
+    return F.when(f == "urdf", "urdf").when(f.isin("mjcf", "xml"), "mjcf").when(f == "sdf", "skipped: sdf").otherwise(F.concat(F.lit("skipped: unknown format "), F.coalesce(f, F.lit("null"))))

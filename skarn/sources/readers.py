@@ -125,6 +125,13 @@ def read_limits(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "joint string, lower double, upper double")
 
 
+def read_annotations(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, item, label for each entry of the JSON maps {item: label}; null labels and texts that
+    are no such map have none."""
+    m = df.select(key, F.explode(F.from_json(text, "map<string,int>")).alias("item", "label"))
+    return m.filter("label is not null").select(key, F.col("item").cast("int").alias("item"), "label")
+
+
 def image_sequences(files: DataFrame, path: str = "path") -> DataFrame:
     """joint (from 0), images: folders joint_<k> with at least two state* files, in their order."""
     f = files.select(F.regexp_extract(path, r"joint_(\d+)/state[^/]*$", 1).alias("k"), F.col(path).alias("p")).filter("k <> ''")

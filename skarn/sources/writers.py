@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.operators.prefix import grouped_prefix
@@ -58,3 +58,55 @@ def robot_xml(joints: DataFrame, key: str) -> DataFrame:
     g = joints.filter("parent is not null and child is not null").select(key, "parent", "child", j.alias("j")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("child", "parent", "j"))).alias("js"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("parent", "child"))))).alias("links"))
     links = F.array_join(F.transform("links", lambda x: F.concat(F.lit('<link name="link_'), x.cast("string"), F.lit('"/>'))), "")
     return g.select(key, F.concat(F.lit('<robot name="'), _text(F.col(key)), F.lit('">'), links, F.array_join(F.transform("js", lambda x: x["j"]), ""), F.lit("</robot>")).alias("xml"))
+
+
+def write_texts(spark: SparkSession, texts: dict[str, str], root: str) -> None:
+    """Few small files (descriptions, cameras, calibrations), by their paths below root."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, text in texts.items():
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """df in the place of the table at path, which it may be computed from: it is written beside
+    it first and takes its name when it is whole."""
+    new = f"{path.rstrip('/')}.new"
+    df.write.mode("overwrite").parquet(new)
+    jvm = df.sparkSession._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(path)):
+        raise OSError(f"{new} could not take the place of {path}")
+
+
+def verify_rewrite(before: DataFrame, after: DataFrame, key: str, column: str, expected: Column) -> DataFrame:
+    """One row: rows before and after, how many have another value of the column, how many of those
+    were expected to stay (expected is over the row before), how many were expected to change and
+    did not, and how many differ in any other column or are missing on one side."""
+    rest = [c for c in before.columns if c not in (key, column)]
+    a = before.select(F.col(key).alias("k"), F.col(column).alias("a"), F.xxhash64(F.lit(0), *rest).alias("ha"), F.coalesce(expected, F.lit(False)).alias("due"))
+    b = after.select(F.col(key).alias("k2"), F.col(column).alias("b"), F.xxhash64(F.lit(0), *rest).alias("hb"))
+    j = a.join(b, F.col("k") == F.col("k2"), "full")
+    moved = ~F.col("a").eqNullSafe(F.col("b"))
+    both = F.col("k").isNotNull() & F.col("k2").isNotNull()
+    return j.agg(
+        F.count("k").alias("rows_before"), F.count("k2").alias("rows_after"), F.count_if(both & moved).alias("changed"), F.count_if(both & moved & ~F.col("due")).alias("unexpected"),
+        F.count_if(both & ~moved & F.col("due")).alias("missed"), F.count_if(~both | (F.col("ha") != F.col("hb"))).alias("other"),
+    )
+
+
+def pack_joints(df: DataFrame, key: str, arrays: list[str]) -> DataFrame:
+    """key, the arrays filled with -1 to the longest of the table, and valid: which slots hold a
+    joint. Null arrays are all filling."""
+    widest = df.agg(F.max(F.greatest(*[F.coalesce(F.size(a), F.lit(0)) for a in arrays], F.lit(0)))).first()[0] or 0  # one number
+    fill = lambda a: F.slice(F.concat(F.coalesce(F.col(a), F.array().cast("array<int>")), F.array_repeat(F.lit(-1), widest)), 1, max(widest, 1))
+    valid = F.transform(F.sequence(F.lit(1), F.lit(max(widest, 1))), lambda i: i <= F.col("__n"))
+    return df.withColumn("__n", F.coalesce(F.size(arrays[0]), F.lit(0))).select(key, *[fill(a).alias(a) for a in arrays], valid.alias("valid"))
+
+
+def calibration_json(fx: Column, fy: Column, cx: Column, cy: Column, dist: Column) -> Column:
+    """The JSON text of a camera's calibration."""
+    rows = F.array(F.array(fx, F.lit(0.0), cx), F.array(F.lit(0.0), fy, cy), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    return F.to_json(F.struct(rows.alias("camera_matrix"), dist.alias("dist_coeffs")))
