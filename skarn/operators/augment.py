@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skarn.operators import vectors as V
 from skarn.operators.prefix import grouped_prefix
 
 
@@ -69,3 +70,32 @@ def surface_points(faces: DataFrame, mesh: str, face: str, area: str, n: int, se
     p = run.filter(F.col(area) > 0).select(mesh, face, F.explode(ks).alias("k"))
     u, v = uniform(seed + 1, F.col(mesh), F.col("k")), uniform(seed + 2, F.col(mesh), F.col("k"))
     return p.select(mesh, "k", face, F.when(u + v > 1, 1 - u).otherwise(u).alias("a"), F.when(u + v > 1, 1 - v).otherwise(v).alias("b"))
+
+
+def scaled(df: DataFrame, group: str, factor: Column) -> DataFrame:
+    """df (group, x, y, z) scaled about each group's centroid by a factor of its own."""
+    mid = df.groupBy(group).agg(*[F.avg(c).alias(f"__m{c}") for c in "xyz"])
+    out = df.join(mid, group).withColumn("__s", factor)
+    return out.withColumns({c: (F.col(c) - F.col(f"__m{c}")) * F.col("__s") + F.col(f"__m{c}") for c in "xyz"}).select(*df.columns)
+
+
+def random_motion(group: Column, seed: int, reach: float) -> tuple[Column, Column]:
+    """(rotation, shift) that follow from seed and group: any axis and angle, a shift within reach."""
+    z = 2 * uniform(seed, group) - 1
+    turn = 2 * F.pi() * uniform(seed + 1, group)
+    flat = F.sqrt(F.greatest(1 - z * z, F.lit(0.0)))
+    axis = F.array(flat * F.cos(turn), flat * F.sin(turn), z)
+    return V.rodrigues(axis, 2 * F.pi() * uniform(seed + 2, group)), F.array(*[(2 * uniform(seed + 3 + i, group) - 1) * reach for i in range(3)])
+
+
+def augment(df: DataFrame, group: str, key: str, seed: int, reach: float = 0.1, scale: tuple[float, float] = (0.9, 1.1), sigma: float = 0.002, drop: float = 0.1) -> DataFrame:
+    """Clouds df (group, key, x, y, z, and ax, ay, az: an axis) after a random motion, which only
+    turns the axes, a random scale about the centroid, noise, and the loss of a share of the
+    points, in this order. Everything follows from seed, group and key, so a repeated task or
+    another partitioning gives the same points."""
+    r, t = random_motion(F.col(group), seed, reach)
+    d = df.withColumns({"__p": V.move(r, t, F.array("x", "y", "z")), "__a": V.turn(r, F.array("ax", "ay", "az"))})
+    d = d.withColumns({**{c: F.col("__p")[i] for i, c in enumerate("xyz")}, **{f"a{c}": F.col("__a")[i] for i, c in enumerate("xyz")}}).select(*df.columns)
+    d = scaled(d, group, scale[0] + (scale[1] - scale[0]) * uniform(seed + 9, F.col(group)))
+    d = d.withColumns({c: noise(F.col(c), sigma, seed + 20 + i, F.col(group), F.col(key)) for i, c in enumerate("xyz")})
+    return drop_share(d, [group], key, drop, seed + 40)

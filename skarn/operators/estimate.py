@@ -193,42 +193,33 @@ def punch_holes(p: np.ndarray, radius: float, most: int, limit: float, seed: int
     return keep
 
 
-def fit_per_group(df: DataFrame, key: str, kind: str) -> DataFrame:
-    """One estimate per group: 'circle' of points x, y, z; 'rigid' of points x, y, z onto u, v, w.
-
-    Rows with a null coordinate are left out. A group is one mesh or pose and is solved in memory."""
-    ship(df.sparkSession)
-
-    def circle(d: pd.DataFrame) -> pd.DataFrame:
-        f = circle_fit(d[["x", "y", "z"]].dropna().to_numpy(float))
-        return pd.DataFrame([[d[key].iloc[0], *f["centre"], f["radius"], f["residual"], f["score"]]])
-
-    def rigid(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.dropna()
-        r, t = rigid_fit(d[["x", "y", "z"]].to_numpy(float), d[["u", "v", "w"]].to_numpy(float))
-        s = screw(r, t)
-        left = d[["x", "y", "z"]].to_numpy(float) @ r.T + t - d[["u", "v", "w"]].to_numpy(float)
-        return pd.DataFrame([[d[key].iloc[0], s["kind"], float(s["amount"]), [float(x) for x in s["axis"]], [float(x) for x in t], float(np.sqrt((left**2).sum(1).mean()))]])
-
-    k = f"{key} {df.schema[key].dataType.simpleString()}"
-    if kind == "circle":
-        return df.select(key, "x", "y", "z").groupBy(key).applyInPandas(circle, f"{k}, cx double, cy double, cz double, radius double, residual double, score double")
-    return df.select(key, *"xyzuvw").groupBy(key).applyInPandas(rigid, f"{k}, kind string, amount double, axis array<double>, shift array<double>, residual double")
-
-
-def cleaned_labels(df: DataFrame, mesh: str, face: str, label: str) -> DataFrame:
-    """mesh, face, label, cleaned: `clean_fragments` of each mesh whose faces touch in the order of
-    their numbers. A mesh is solved in memory."""
-    ship(df.sparkSession)
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values(face)
-        n = len(d)
-        d["cleaned"] = clean_fragments([int(x) for x in d[label]], [(i, i + 1) for i in range(n - 1)])
-        return d[[mesh, face, label, "cleaned"]]
-
-    s = df.schema
-    return df.select(mesh, face, label).filter(F.col(label).isNotNull()).groupBy(mesh).applyInPandas(run, f"{mesh} {s[mesh].dataType.simpleString()}, {face} {s[face].dataType.simpleString()}, {label} {s[label].dataType.simpleString()}, cleaned int")
+def cleaned_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """mesh, face, label, cleaned: `clean_fragments` of each mesh, one after another as it is
+    defined. labels: mesh, face, label; edges: mesh, f1, f2 of faces that touch. A mesh is solved
+    in the memory of one task; null labels are left out."""
+    ship(labels.sparkSession)
+    s = labels.schema
+
+    def run(d: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("face")
+        at = {int(f): i for i, f in enumerate(d["face"])}
+        pairs = [(at[int(a)], at[int(b)]) for a, b in zip(e["f1"], e["f2"]) if int(a) in at and int(b) in at]
+        d["cleaned"] = clean_fragments([int(x) for x in d["label"]], pairs)
+        return d[["mesh", "face", "label", "cleaned"]]
+
+    left = labels.select("mesh", "face", "label").filter("label is not null").groupBy("mesh")
+    return left.cogroup(edges.select(F.col("mesh").alias("m"), "f1", "f2").groupBy("m")).applyInPandas(run, f"mesh {s['mesh'].dataType.simpleString()}, face {s['face'].dataType.simpleString()}, label {s['label'].dataType.simpleString()}, cleaned int")
+
+
+def nearest_motions(orphans: DataFrame, assigned: DataFrame, key: str, body: str, pose: str, tolerance: float) -> DataFrame:
+    """key, body, worst: for each orphan the body whose mean displacement (x, y, z) it follows best,
+    by the worst distance over all poses; -1 if that is not below the tolerance. Bodies are few:
+    each orphan meets one row of each body and pose."""
+    m = assigned.groupBy(F.col(body).alias("__b"), pose).agg(*[F.avg(c).alias(f"__{c}") for c in "xyz"])
+    far = F.sqrt(sum(((F.col(c) - F.col(f"__{c}")) * (F.col(c) - F.col(f"__{c}")) for c in "yz"), (F.col("x") - F.col("__x")) * (F.col("x") - F.col("__x"))))
+    w = orphans.join(m, pose).groupBy(key, "__b").agg(F.round(F.max(far), 9).alias("worst"))
+    best = w.groupBy(key).agg(F.min(F.struct("worst", "__b")).alias("t"))
+    return best.select(key, F.when(F.col("t.worst") < tolerance, F.col("t.__b")).otherwise(-1).alias("body"), F.round("t.worst", 6).alias("worst"))
 
 
 def mean_rotation(rotations: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,22 @@ def ray_through(px: Column, py: Column, f: float, cx: float, cy: float) -> Colum
     return V.unit(F.array((px - cx) / f, (py - cy) / f, F.lit(1.0)))
 
 
+def focal_of_view(width: float, degrees: float) -> float:
+    """The focal length in pixels of a camera that sees so many degrees across its width."""
+    return width / (2 * math.tan(math.radians(degrees) / 2))
+
+
+def sweep_poses(joints: int, angle: float) -> list[tuple[int, float]]:
+    """(joint, angle) of the home pose (joint -1) and of each joint turned there and back."""
+    return [(-1, 0.0)] + [(j, a) for j in range(joints) for a in (angle, -angle)]
+
+
+def topology_mode(parents: Column) -> Column:
+    """auto without joints, serial where no link has two children, else tree."""
+    kids = F.filter(F.coalesce(parents, F.array().cast("array<int>")), lambda p: p >= 0)
+    return F.when(F.coalesce(F.size(parents), F.lit(0)) == 0, "auto").when(F.size(F.array_distinct(kids)) == F.size(kids), "serial").otherwise("tree")
+
+
 def link_name(i: Column) -> Column:
     return F.when(i == 0, "base").otherwise(F.concat(F.lit("link"), i.cast("string")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skarn.operators.graph import connected_components
 from skarn.operators.prefix import grouped_prefix
 
 
@@ -64,3 +65,39 @@ def mesh_volumes(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     f = f.withColumn("__v", v)
     mid = [F.try_divide(F.sum(F.col("__v") * (c[0][i] + c[1][i] + c[2][i]) / 4), F.sum("__v")).alias(f"c{n}") for i, n in enumerate("xyz")]
     return f.groupBy("mesh").agg(F.sum("__v").alias("volume"), *mid)
+
+
+def face_edges(faces: DataFrame) -> DataFrame:
+    """mesh, face, a, b: the three edges of each face (v0, v1, v2), a < b."""
+    ends = F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("v0", "v1"), ("v1", "v2"), ("v0", "v2"))])
+    return faces.select("mesh", "face", F.explode(ends).alias("e")).select("mesh", "face", "e.a", "e.b").filter("a < b")
+
+
+def face_adjacency(faces: DataFrame) -> DataFrame:
+    """mesh, f1, f2, a, b: pairs of faces f1 < f2 that share the edge a, b. An edge is taken to have
+    two faces; of more, as in broken meshes, each meets the first, so nothing is paired with all."""
+    e = face_edges(faces)
+    first = e.groupBy("mesh", "a", "b").agg(F.min("face").alias("f1"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return e.join(first, ["mesh", "a", "b"]).filter("face > f1").select("mesh", "f1", F.col("face").alias("f2"), "a", "b")
+
+
+def label_boundaries(adjacency: DataFrame, labels: DataFrame) -> DataFrame:
+    """mesh, la, lb, a, b: the shared edges of faces of two labels >= 0, the smaller label first.
+    labels: mesh, face, label."""
+    of = lambda f, name: labels.select("mesh", F.col("face").alias(f), F.col("label").alias(name))
+    j = adjacency.join(of("f1", "l1"), ["mesh", "f1"]).join(of("f2", "l2"), ["mesh", "f2"]).filter("l1 <> l2 and l1 >= 0 and l2 >= 0")
+    return j.select("mesh", F.least("l1", "l2").alias("la"), F.greatest("l1", "l2").alias("lb"), "a", "b")
+
+
+def label_parts(adjacency: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """mesh, face, label, part, size: connected faces of one label, numbered from 0 in each mesh by
+    their smallest face; parts of fewer than `least` faces have part -1."""
+    key = lambda m, f: F.struct(F.col(m).alias("mesh"), F.col(f).alias("face"))
+    of = lambda f, name: labels.select("mesh", F.col("face").alias(f), F.col("label").alias(name))
+    same = adjacency.join(of("f1", "l1"), ["mesh", "f1"]).join(of("f2", "l2"), ["mesh", "f2"]).filter("l1 = l2")
+    comp = connected_components(same.select(key("mesh", "f1").alias("src"), key("mesh", "f2").alias("dst")))
+    comp = comp.select(F.col("node.mesh").alias("mesh"), F.col("node.face").alias("face"), F.col("component.face").alias("first"))
+    rows = labels.join(comp, ["mesh", "face"], "left").withColumn("first", F.coalesce("first", "face"))
+    size = rows.groupBy("mesh", "first").agg(F.count("*").alias("size"))
+    ids = grouped_prefix(size.filter(F.col("size") >= least).select("mesh", "first"), ["mesh"], ["first", "mesh"]).select("mesh", "first", (F.col("rank") - 1).alias("part"))
+    return rows.join(size, ["mesh", "first"]).join(ids, ["mesh", "first"], "left").select("mesh", "face", "label", F.coalesce("part", F.lit(-1)).cast("long").alias("part"), "size")

@@ -100,7 +100,7 @@ _PATTERNS = "(values " + ", ".join(f"({o}, '{p}', '{v}')" for o, p, v in PATTERN
 select coalesce(t.vendor, '') as vendor, case when t.vendor is null then list_filter(string_split(lower(e.path), '/'), lambda x: x not in ('robots', 'urdf', 'data'))[1] else t.vendor end as family, count(*) as n
 from {Q.ENTRIES} e left join m using (entry_id) left join {_PATTERNS} on t.ord = m.ord group by all""")
 def first_pattern(spark, sf):
-    """The first pattern that occurs in a path decides; else the first directory that is no stop word."""
+    """The first pattern that occurs in a path decides; else the first directory that is no stop word."""
     e = _entries(spark, sf)
     hit = F.coalesce(*[F.when(F.contains(F.lower("path"), F.lit(p)), v) for _, p, v in PATTERNS])
     first = F.get(F.filter(F.split(F.lower("path"), "/"), lambda x: ~x.isin("robots", "urdf", "data")), F.lit(0))
@@ -249,7 +249,7 @@ def limit_clamp(spark, sf):
 @query(f"""select entry_id, cast(cast(cast(coalesce(total_mass, 0) as varchar) as decimal(18, 2)) as varchar) as mass, case when length(coalesce(notes, '')) > 60 then substr(notes, 1, 60) else coalesce(notes, '') end as notes,
 '| ' || concat_ws(' | ', replace(coalesce(vendor, ''), '|', '\\|'), coalesce(family, ''), cast(coalesce(dof, 0) as varchar)) || ' |' as line from {Q.ENTRIES}""")
 def report_lines(spark, sf):
-    """Formatted rows for text reports."""
+    """Formatted rows for text reports (C20)."""
     return _entries(spark, sf).select(
         "entry_id", F.format_string("%.2f", F.round(F.coalesce("total_mass", F.lit(0.0)), 2)).alias("mass"), F.substring(F.coalesce("notes", F.lit("")), 1, 60).alias("notes"),
         F.concat(F.lit("| "), F.concat_ws(" | ", F.replace(F.coalesce("vendor", F.lit("")), F.lit("|"), F.lit("\\|")), F.coalesce("family", F.lit("")), F.coalesce("dof", F.lit(0)).cast("string")), F.lit(" |")).alias("line"),

@@ -33,7 +33,7 @@ def _xyz(spark, sf):
 @query("""with n as (select n_nationkey as k, n_nationkey * 0.1::double as a, n_regionkey * 0.2::double as b, n_regionkey as r from nation)
 select 'C' || c_custkey as node, round(cos(b) * (cos(a) * 2 - sin(a) * 0 + n.k) - sin(b) * (sin(a) * 2 + cos(a) * 0) + r, 4) as x, round(sin(b) * (cos(a) * 2 + n.k) + cos(b) * (sin(a) * 2) + 0, 4) as y from customer join n on n.k = c_nationkey""")
 def composed_frames(spark, sf):
-    """Frames of a three-level tree in its roots' frames, by pointer doubling."""
+    """Frames of a three-level tree in its roots' frames, by pointer doubling."""
     r, n, c = (read_table(spark, sf, t) for t in ("region", "nation", "customer"))
     tag = lambda t, k: F.concat(F.lit(t), F.col(k).cast("string"))
     turn = lambda a: V.rodrigues(V.vec(F.lit(0), F.lit(0), F.lit(1)), a)
@@ -75,7 +75,7 @@ def root_choice(spark, sf):
 
 @query("""select o_orderkey, case when c_custkey is null then 'no such customer' end as rejected, r_name from orders left join customer on c_custkey = o_custkey and c_acctbal > 0 left join nation on n_nationkey = c_nationkey left join region on r_regionkey = n_regionkey""")
 def matched_or_rejected(spark, sf):
-    """Rows with their partners through several hops, and why the others have none."""
+    """Rows with their partners through several hops, and why the others have none."""
     o, c, n, r = (read_table(spark, sf, t) for t in ("orders", "customer", "nation", "region"))
     m = K.match_or_reject(o.select("o_orderkey", "o_custkey"), "o_custkey", c.filter("c_acctbal > 0").select("c_custkey", "c_nationkey"), "c_custkey", "no such customer")
     m = m.join(n.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey", "left").join(r.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey", "left")
@@ -115,7 +115,7 @@ d as (select p.vec_id, p.label, p.k, p.x - o.x as x, p.y - o.y as y, p.z - o.z a
 m as (select label, k, avg(x) as x, avg(y) as y, avg(z) as z from d group by 1, 2)
 select vec_id, round(max(sqrt((d.x - m.x) ** 2 + (d.y - m.y) ** 2 + (d.z - m.z) ** 2)), 6) as worst, count(*) filter (sqrt((d.x - m.x) ** 2 + (d.y - m.y) ** 2 + (d.z - m.z) ** 2) < 0.2) as inliers from d join m using (label, k) group by 1""")
 def pose_residuals(spark, sf):
-    """Worst distance of each vertex from its body's mean motion over all poses."""
+    """Worst distance of each vertex from its body's mean motion over all poses."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     e = read_table(spark, sf, "embeddings").select("vec_id", "label", v.alias("e"))
     k = F.sequence(F.lit(0), F.lit(20))
@@ -147,5 +147,5 @@ def inferred_trees(spark, sf):
 
 @query()
 def punched_clouds(spark, sf):
-    """Clouds with spheres cut out (M4)."""
+    """Clouds with spheres cut out, by seeds of their own."""
     return S.holed(_xyz(spark, sf), "label", "vec_id", 0.1, 8, 0.3, 7)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions.catalog import clean_label, joint_code
 from skarn.operators import augment as A
-from skarn.operators import estimate as S
+from skarn.operators import fits as T
 from skarn.operators import metrics as M
 from skarn.operators import prepare as P
 from skarn.sources.tables import newest, read_table
@@ -35,14 +35,14 @@ def stratified_split(spark, sf):
 
 @query("""with r as (select s_suppkey as key, row_number() over (order by md5(cast(s_suppkey as varchar)), s_suppkey) as rn, count(*) over () as n from supplier) select key, case when rn <= greatest(1, round_even(n * 0.15, 0)) then 'val' else 'train' end as part from r""")
 def group_split(spark, sf):
-    """Groups split by the order of a hash."""
+    """Groups split by the order of a hash."""
     return P.group_split(read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key")), "key", None, 0.15)
 
 
 @query("""select example_id, list_resize(list_transform(joint_types, lambda x: case when x >= 0 and x < 64 then x else -1 end), 8, -1)::integer[] as types, cast(least(len(joint_types), 8) as integer) as n
 from (select * from (select *, row_number() over (partition by example_id order by created_at desc) as rn from training_example) where rn = 1)""")
 def padded_joints(spark, sf):
-    """Joint types cut or filled to eight slots, labels out of range cleaned."""
+    """Joint types cut or filled to eight slots, labels out of range cleaned."""
     t = newest(read_table(spark, sf, "training_example").select("example_id", "joint_types", "created_at"), "example_id", "created_at")
     return t.select("example_id", P.pad(F.transform("joint_types", clean_label_of), 8, F.lit(-1)).alias("types"), F.least(F.size("joint_types"), F.lit(8)).alias("n"))
 
@@ -67,7 +67,7 @@ round(coalesce(sum(case when valid then case when abs(d) < 1 then 0.5 * d * d el
 round(avg(greatest(logit, 0) - logit * target + ln(1 + exp(-abs(logit)))), 5) as bce, round(avg(cast((logit > 0) = valid as double)), 6) as valid_accuracy,
 round(coalesce(sum(case when valid then 1 - abs(cos(d)) end), 0) / greatest(count(*) filter (valid), 1), 5) as axis from {_L} group by 1""")
 def masked_metrics(spark, sf):
-    """Accuracy, smooth L1, binary cross entropy and axis loss over valid rows."""
+    """Accuracy, smooth L1, binary cross entropy and axis loss over valid rows."""
     li = read_table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("g"), (F.col("l_linenumber") - 2).alias("label"), (F.col("l_suppkey") % 7 - 1).alias("predicted"), (F.col("l_discount") * 20 - 1).alias("d"),
         (F.col("l_quantity") / 25 - 1).alias("logit"), (F.col("l_linestatus") == "O").alias("valid"),
@@ -100,7 +100,7 @@ def totals_and_gates(spark, sf):
 
 @query("""with f as (select n.name, min(s.shard) as first from (select shard, unnest(names) as name from (select * from (select *, row_number() over (partition by shard order by written_at desc) as rn from shard) where rn = 1)) n join shard s on s.shard = n.shard group by 1) select name, cast(row_number() over (order by first, name) - 1 as bigint) as code from f""")
 def dictionary_codes(spark, sf):
-    """Numbers for names in the order they are first seen."""
+    """Numbers for names in the order they are first seen."""
     from skarn.operators.prefix import grouped_prefix
 
     s = newest(read_table(spark, sf, "shard").select("shard", "names", "written_at"), "shard", "written_at").select("shard", F.explode("names").alias("name"))
@@ -109,7 +109,7 @@ def dictionary_codes(spark, sf):
 
 @query()
 def joint_samples(spark, sf):
-    """A position for each joint of each example, from seeds and keys."""
+    """A position for each joint of each example, from seeds and keys (M1)."""
     x = newest(read_table(spark, sf, "shard_example").select("example_id", "joints", "created_at"), "example_id", "created_at").select("example_id", F.posexplode("joints").alias("k", "j"))
     lo, hi = F.nanvl(F.col("j.lower"), F.lit(-1.0)).cast("double"), F.nanvl(F.col("j.upper"), F.lit(1.0)).cast("double")
     return x.select("example_id", "k", F.round(A.joint_config(F.col("j.type"), lo, hi, 11, F.col("example_id"), F.col("k")), 6).alias("position"), lo.alias("lower"), hi.alias("upper"))
@@ -117,7 +117,7 @@ def joint_samples(spark, sf):
 
 @query()
 def augmented_points(spark, sf):
-    """Points of each example with noise and a random turn, a tenth dropped."""
+    """Points of each example with noise and a random turn, a tenth dropped."""
     x = newest(read_table(spark, sf, "shard_example").select("example_id", "points", "created_at"), "example_id", "created_at").select("example_id", F.posexplode("points").alias("k", "p"))
     angle = A.uniform(3, F.col("example_id")) * 6.283185307179586
     u, v = A.yaw(F.col("p.x").cast("double"), F.col("p.y").cast("double"), angle)
@@ -134,23 +134,16 @@ def surface_samples(spark, sf):
 
 @query()
 def circles(spark, sf):
-    """A circle through each label's points."""
+    """A circle through each label's points, from sums."""
     e = read_table(spark, sf, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("xyz")])
-    return S.fit_per_group(e, "label", "circle")
+    return T.circle_fits(e, ["label"])
 
 
 @query()
 def rigid_motions(spark, sf):
-    """The motion between two triples of coordinates of each label, as a screw."""
+    """The motion between two triples of coordinates of each label, as a screw, from sums."""
     e = read_table(spark, sf, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("xyzuvw")])
-    return S.fit_per_group(e, "label", "rigid")
-
-
-@query()
-def cleaned_fragments(spark, sf):
-    """Stray parts of labels given to their neighbours: parts of a supplier as faces."""
-    li = read_table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg((F.min("l_linenumber") % 3).cast("int").alias("label"))
-    return S.cleaned_labels(li, "l_suppkey", "l_partkey", "label")
+    return T.rigid_fits(e, ["label"])
 
 
 @query("""with f as (select l_suppkey as mesh, l_partkey as face, min(l_linenumber) as cluster, max(case when l_partkey % 11 = 0 then cast(l_partkey % 3 + 100 as integer) end) as usr from lineitem group by 1, 2),
@@ -159,7 +152,7 @@ b as (select *, row_number() over (partition by mesh, cluster order by k desc, f
 r as (select mesh, cluster, row_number() over (partition by mesh order by min(face)) as rank from s where fixed is null group by 1, 2), m as (select mesh, coalesce(max(usr), -1) as base from f group by 1)
 select s.mesh, s.face, cast(coalesce(s.fixed, m.base + r.rank) as integer) as label from s join m using (mesh) left join r on r.mesh = s.mesh and r.cluster = s.cluster""")
 def merged_labels(spark, sf):
-    """User labels over predicted clusters."""
+    """User labels over predicted clusters."""
     from skarn.operators.labels import merge_labels
 
     li = read_table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("mesh"), F.col("l_partkey").alias("face")).agg(F.min("l_linenumber").alias("cluster"))

@@ -66,7 +66,7 @@ def multiset_match(spark, sf):
 @query("""select e.entry_id, coalesce(nullif(nullif(e.license, ''), 'Unknown'), nullif(r.default_license, 'Unknown'), 'Unknown') as licence, coalesce(r.quality_tier, 'low') as tier
 from (select *, row_number() over (partition by entry_id order by ingested_at desc) as rn from catalog_entry) e left join source_ref r on r.source = e.source where rn = 1""")
 def licence_overlay(spark, sf):
-    """Own value, else the source's default."""
+    """Own value, else the source's default."""
     from skarn.operators.catalog import entries
 
     e = entries(read_table(spark, sf, "catalog_entry").select("entry_id", "source", "license", "ingested_at"))
@@ -94,7 +94,7 @@ def limit_precedence(spark, sf):
 @query("""with a as (select row_number() over (order by s_suppkey) as k, s_suppkey from supplier), b as (select row_number() over (order by n_nationkey) as k, n_name from nation)
 select cast(k as bigint) as k, s_suppkey, n_name, case when s_suppkey is null or n_name is null then 'unpaired' else 'pair' end as state from a full join b using (k)""")
 def positional_join(spark, sf):
-    """The k-th row of one list with the k-th of another; gaps are shown."""
+    """The k-th row of one list with the k-th of another; gaps are shown."""
     from skarn.operators.prefix import grouped_prefix
 
     a = grouped_prefix(read_table(spark, sf, "supplier").select("s_suppkey"), [], ["s_suppkey"]).withColumnRenamed("rank", "k")
@@ -105,7 +105,7 @@ def positional_join(spark, sf):
 
 @query("""select s as sigma, cast(t as integer) as seed, count(n_nationkey) as n from (select unnest([0.5::double, 1.0::double, 2.0::double]) as s) cross join (select unnest([0, 1, 2]) as t) left join nation on n_nationkey % 3 = t group by all""")
 def sweep_grid(spark, sf):
-    """Every combination of two short parameter lists, with rows per seed."""
+    """Every combination of two short parameter lists, with rows per seed."""
     n = read_table(spark, sf, "nation").select((F.col("n_nationkey") % 3).alias("seed"))
     lists = spark.range(1).select(F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0))).alias("sigma")).select("sigma", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("seed"))
     return lists.join(n.withColumn("hit", F.lit(1)), "seed", "left").groupBy("sigma", "seed").agg(F.count("hit").alias("n"))
@@ -114,7 +114,7 @@ def sweep_grid(spark, sf):
 @query("""with f as (select o_custkey as mesh, row_number() over (partition by o_custkey order by o_orderkey) as face, o_orderpriority as label from orders)
 select least(a.label, b.label) as la, greatest(a.label, b.label) as lb, count(*) as weight from f a join f b on a.mesh = b.mesh and b.face = a.face + 1 where a.label <> b.label group by all""")
 def label_adjacency(spark, sf):
-    """Edges between rows that touch, counted per pair of labels, both directions as one."""
+    """Edges between rows that touch, counted per pair of labels, both directions as one."""
     from skarn.operators.prefix import grouped_prefix
 
     o = read_table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("label"))
@@ -162,20 +162,20 @@ def three_way_mode(spark, sf):
 
 @query("select user_id, bool_and(value < 100) as all_small, bool_or(value > 90) as any_large, count(*) filter (event_type <> 'view') as changed, count(distinct event_type) as kinds from events group by 1")
 def boolean_aggregates(spark, sf):
-    """All, any and changed rows of a group."""
+    """All, any and changed rows of a group."""
     return read_table(spark, sf, "events").groupBy("user_id").agg(F.bool_and(F.col("value") < 100).alias("all_small"), F.bool_or(F.col("value") > 90).alias("any_large"), F.count_if(F.col("event_type") != "view").alias("changed"), F.countDistinct("event_type").alias("kinds"))
 
 
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_extendedprice) as rn from lineitem) where rn = 1""")
 def keep_first(spark, sf):
-    """The first row per key (A1, H1); only the key and the order are shuffled."""
+    """The first row per key (H1); only the key and the order are shuffled."""
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return read_table(spark, sf, "lineitem").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query("select o_orderkey, cast(row_number() over (order by o_totalprice, o_orderkey) - 1 as bigint) as pos, cast((row_number() over (order by o_totalprice, o_orderkey) - 1) // 1000 as bigint) as chunk from orders")
 def chunks(spark, sf):
-    """Positions and blocks of a fixed size over a whole table."""
+    """Positions and blocks of a fixed size over a whole table."""
     return R.chunk_ids(read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 1000).select("o_orderkey", "pos", "chunk")
 
 
@@ -188,7 +188,7 @@ def dense_renumber(spark, sf):
 @query("""select user_id, count(*) as pairs, round(sum(abs(d)), 3) as path, count(*) filter (d > 0) as rises, round(max(abs(v - first)), 4) as far from
 (select user_id, value as v, lead(value) over w - value as d, first_value(value) over w as first from events window w as (partition by user_id order by ts, event_id)) where d is not null group by 1""")
 def consecutive_pairs(spark, sf):
-    """Steps from each state to the next, and distance from the first."""
+    """Steps from each state to the next, and distance from the first."""
     e = R.next_rows(read_table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value")
     e = e.select("user_id", F.col("value").alias("v"), (F.col("next") - F.col("value")).alias("d"), "first").filter("d is not null")
     return e.groupBy("user_id").agg(F.count("*").alias("pairs"), F.round(F.sum(F.abs("d")), 3).alias("path"), F.count_if(F.col("d") > 0).alias("rises"), F.round(F.max(F.abs(F.col("v") - F.col("first"))), 4).alias("far"))
@@ -219,7 +219,7 @@ def set_operations(spark, sf):
 
 @query("select 0 as left_only, (select count(*) from lineitem) - (select count(*) from (select distinct l_orderkey, l_linenumber from lineitem)) as right_only, false as equal")
 def table_difference(spark, sf):
-    """Rows of two tables that have no partner, repeats counted."""
+    """Rows of two tables that have no partner, repeats counted."""
     li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
     once = li.distinct()
     a = once.exceptAll(li).agg(F.count("*").cast("int").alias("left_only"))
@@ -229,14 +229,14 @@ def table_difference(spark, sf):
 
 @query("select cast(json_extract(props, '$.k') as integer) % 10 as k, event_type, count(*) as n from events group by all")
 def json_groups(spark, sf):
-    """Fields of JSON texts."""
+    """Fields of JSON texts."""
     e = read_table(spark, sf, "events").select(F.from_json("props", "k int").getField("k").alias("k"), "event_type")
     return e.groupBy((F.col("k") % 10).alias("k"), "event_type").agg(F.count("*").alias("n"))
 
 
 @query("""with t as (select s_suppkey as id, s_nationkey, s_acctbal from supplier) select id, s_acctbal, state from (select id, s_acctbal, row_number() over (partition by s_nationkey order by s_acctbal desc, id) as rn, case when s_acctbal > 5000 then 'well' else 'less' end as state from t) where rn <= 2""")
 def first_two(spark, sf):
-    """The best two rows per key, before the shuffle too."""
+    """The best two rows per key, before the shuffle too."""
     w = Window.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc(), "s_suppkey")
     s = read_table(spark, sf, "supplier").withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
     return s.select(F.col("s_suppkey").alias("id"), "s_acctbal", F.when(F.col("s_acctbal") > 5000, "well").otherwise("less").alias("state"))
@@ -245,7 +245,7 @@ def first_two(spark, sf):
 @query("""with g as (select 'R' || r_regionkey as node, cast(null as varchar) as parent from region union all select 'N' || n_nationkey, 'R' || n_regionkey from nation union all select 'C' || c_custkey, 'N' || c_nationkey from customer)
 select a.node, coalesce(c.node, b.node, a.node) as root, case when b.node is null then 0 when c.node is null then 1 else 2 end as depth, cast(case when b.node is null then 1 when c.node is null then 2 else 3 end as integer) as steps from g a left join g b on b.node = a.parent left join g c on c.node = b.parent""")
 def tree_levels(spark, sf):
-    """Depth, root and path length in a tree of unknown depth, by pointer doubling."""
+    """Depth, root and path length in a tree of unknown depth, by pointer doubling."""
     from skarn.operators.hierarchy import hierarchy
 
     r, n, c = (read_table(spark, sf, t) for t in ("region", "nation", "customer"))

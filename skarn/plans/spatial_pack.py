@@ -48,7 +48,7 @@ def _coded(spark, sf):
 
 @query(f"select vec_id, cast(gx as integer) as gx, cast(gy as integer) as gy, cast(gz as integer) as gz, code, cast({_morton_sql('gy', 'gx', 'gz')} as bigint) as code_trans, (cast(label as bigint) << {3 * DEPTH}) | code as code_batch, true as round_trip from {_CODE}")
 def morton_codes(spark, sf):
-    """Grid cells and their codes, both ways and with the batch in front (Q1, Q2, Q3, Q5)."""
+    """Grid cells and their codes, both ways and with the batch in front (Q1, Q3, Q5)."""
     g = _coded(spark, sf)
     back = G.morton_decode(F.col("code"), DEPTH)
     return g.select("vec_id", "gx", "gy", "gz", "code", G.morton(F.col("gy"), F.col("gx"), F.col("gz"), DEPTH).alias("code_trans"), G.with_batch(F.col("code"), F.col("label"), DEPTH).alias("code_batch"), ((back["x"] == F.col("gx")) & (back["y"] == F.col("gy")) & (back["z"] == F.col("gz"))).alias("round_trip"))
@@ -179,7 +179,7 @@ def _pairs(spark, sf):
 @query(f"""select vec_id, round(degrees(acos(least(1, abs(x * u + y * v + z * w) / (sqrt(x * x + y * y + z * z) * sqrt(u * u + v * v + w * w))))), 3) as angle,
 round(sqrt((y * w - z * v) * (y * w - z * v) + (z * u - x * w) * (z * u - x * w) + (x * v - y * u) * (x * v - y * u)), 6) as cross_norm, round((-y) * (-1.0) + 2.0 * 0, 6) as px, round(x + 2.0, 6) as py, round(z + 3.0, 6) as pz from {_Q}""")
 def axis_errors(spark, sf):
-    """Angles between axes, and points after a quarter turn about z and a shift."""
+    """Angles between axes, and points after a quarter turn about z and a shift."""
     m, t = V.rodrigues(V.vec(F.lit(0), F.lit(0), F.lit(1)), F.lit(1.5707963267948966)), V.vec(F.lit(0), F.lit(2), F.lit(3))
     d = _pairs(spark, sf)
     p = V.move(m, t, F.col("a"))
@@ -190,7 +190,7 @@ def axis_errors(spark, sf):
 @query(f"""select vec_id, round(case when z > 1e-6 then 600 * x / z + 320 end, 3) as u, round(case when z > 1e-6 then 600 * y / z + 240 end, 3) as v, z > 1e-6 as seen,
 round(sqrt((x - u) * (x - u) + (y - v) * (y - v) + (z - w) * (z - w)), 6) as apart from {_Q.replace("as u,", "as u,")}""")
 def projections(spark, sf):
-    """Pixels of points before a camera; those behind it have none."""
+    """Pixels of points before a camera; those behind it have none."""
     d = _pairs(spark, sf)
     px = V.project(F.col("a"), 600.0, 320.0, 240.0)
     return d.select("vec_id", F.round(px[0], 3).alias("u"), F.round(px[1], 3).alias("v"), (F.col("a")[2] > 1e-6).alias("seen"), F.round(V.norm(V.minus(F.col("a"), F.col("b"))), 6).alias("apart"))
@@ -208,6 +208,6 @@ def crops(spark, sf):
 @query("""select example_id, cast(count(*) as bigint) as n, count(distinct p.label) as labels, count(*) filter (p.label < 0) as unlabelled, round(max(cast(p.x as double)) - min(cast(p.x as double)), 5) as ex
 from (select example_id, unnest(points) as p from (select distinct on (example_id) * from shard_example)) group by 1""")
 def example_clouds(spark, sf):
-    """Points, labels and extent of each example."""
+    """Points, labels and extent of each example."""
     x = read_table(spark, sf, "shard_example").select("example_id", "points").dropDuplicates(["example_id"]).select("example_id", F.explode("points").alias("p"))
     return x.groupBy("example_id").agg(F.count("*").alias("n"), F.countDistinct("p.label").alias("labels"), F.count_if(F.col("p.label") < 0).alias("unlabelled"), F.round(F.max(F.col("p.x").cast("double")) - F.min(F.col("p.x").cast("double")), 5).alias("ex"))

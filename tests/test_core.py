@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import catalog as C
 from skarn.functions.names import known, name_key, near, path_key, split_key
-from skarn.operators import augment, curves, estimate, metrics, reports
+from skarn.operators import augment, curves, estimate, fits, metrics, reports
 from skarn.operators import vectors as V
 from skarn.operators.catalog import entries, entry_groups
 from skarn.operators.graph import connected_components
@@ -439,3 +439,48 @@ def test_scenes(spark):
     c = spark.createDataFrame([(i % 2, i, *map(float, q)) for i, q in enumerate(p)], "c int, k int, x double, y double, z double")
     h = estimate.holed(c, "c", "k", 0.7, 5, 0.3, 1)
     assert 21 <= h.count() <= 30 and {r.k for r in h.collect()} == {r.k for r in estimate.holed(c.repartition(3), "c", "k", 0.7, 5, 0.3, 1).collect()}
+
+
+def test_fits_from_sums_are_those_of_the_points(spark):
+    rng = np.random.default_rng(3)
+    rows, clouds = [], {}
+    for g in range(4):
+        turn = estimate.rigid_fit(rng.normal(size=(9, 3)), rng.normal(size=(9, 3)))[0]
+        a = rng.normal(size=(30, 3))
+        b = a @ turn.T + rng.normal(size=3) + rng.normal(size=(30, 3)) * 0.01
+        clouds[g] = (a, b)
+        rows += [(g, *map(float, p), *map(float, q), "clash") for p, q in zip(a, b)]
+    df = spark.createDataFrame([*rows, (0, None, 1.0, 1.0, 1.0, 1.0, 1.0, "x")], "g int, x double, y double, z double, u double, v double, w double, n string")
+    for r in fits.rigid_fits(df.drop("n"), ["g"]).collect():
+        turn, shift = estimate.rigid_fit(*clouds[r.g])
+        assert np.allclose(np.array(r.rotation).reshape(3, 3), turn, atol=1e-8) and np.allclose(r["shift"], shift, atol=1e-8)
+        left = np.linalg.norm(clouds[r.g][0] @ turn.T + shift - clouds[r.g][1], axis=1)
+        assert r.residual == pytest.approx(np.sqrt((left**2).mean()), abs=1e-6)
+    t = np.linspace(0, 5, 40)
+    circle = np.stack([2 * np.cos(t) + 1, 2 * np.sin(t) + 3, 0.2 * rng.normal(size=40)], 1)
+    sets = {"ring": circle, "cloud": clouds[0][0], "two": circle[:2]}
+    df = spark.createDataFrame([(k, *map(float, p)) for k, v in sets.items() for p in v], "k string, x double, y double, z double")
+    got = {r.k: r for r in fits.circle_fits(df, ["k"]).collect()}
+    for k in ("ring", "cloud"):
+        want = estimate.circle_fit(sets[k])
+        assert got[k].radius == pytest.approx(want["radius"]) and np.allclose(got[k].centre, want["centre"]) and got[k].score == pytest.approx(want["score"])
+        assert abs(np.dot(got[k].normal, want["normal"])) == pytest.approx(1)
+    assert got["two"].radius == 0 and got["two"].residual == float("inf") and got["two"].score == 0
+    assert fits.circle_fits(df.limit(0), ["k"]).count() == 0
+
+
+def test_joints_of_boundaries(spark):
+    ring = [("m", 0, 1, 12, math.cos(i), math.sin(i), 0.0) for i in range(12)]
+    few = [("m", 1, 2, 2, 1.0, 0.0, 1.0), ("m", 1, 2, 2, 0.0, 1.0, 1.0)]
+    b = spark.createDataFrame(ring + few, "mesh string, la int, lb int, edges bigint, x double, y double, z double")
+    c = spark.createDataFrame([("m", 0, [0.0, 0.0, 1.0]), ("m", 1, [0.0, 0.0, -1.0]), ("m", 2, [2.0, 0.0, -1.0])], "mesh string, label int, centre array<double>")
+    got = {r.lb: r for r in fits.boundary_joints(b, c).collect()}
+    assert got[1].kind == "revolute" and got[1].axis == pytest.approx([0, 0, -1]) and got[1].radius == pytest.approx(1) and got[1].origin == pytest.approx([0, 0, 0], abs=1e-9)
+    assert got[2].kind == "fixed" and got[2].origin == [1.0, 0.0, -1.0] and got[2].confidence == 0
+
+
+def test_fragments_follow_their_edges(spark):
+    l = spark.createDataFrame([("m", f, x) for f, x in enumerate([0, 0, 1, 0, 1, 1])] + [("e", 0, 2), ("m", 9, None)], "mesh string, face bigint, label int")
+    e = spark.createDataFrame([("m", 0, 1), ("m", 1, 2), ("m", 2, 3), ("m", 3, 4), ("m", 4, 5)], "mesh string, f1 bigint, f2 bigint")
+    got = {(r.mesh, r.face): r.cleaned for r in estimate.cleaned_labels(l, e).collect()}
+    assert got == {("m", f): x for f, x in enumerate(estimate.clean_fragments([0, 0, 1, 0, 1, 1], [(i, i + 1) for i in range(5)]))} | {("e", 0): 2}
