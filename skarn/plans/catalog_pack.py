@@ -11,7 +11,7 @@ from skarn.operators import reports as R
 from skarn.operators.catalog import entries, entry_groups
 from skarn.operators.units import longest_side, scale_class
 from skarn.plans import sql as Q
-from skarn.sources.tables import materialize, read_table
+from skarn.sources.tables import materialize, newest, read_table
 
 QUERIES, ORACLES = {}, {}
 
@@ -219,7 +219,7 @@ def first_large_groups(spark, sf):
     return g.join(top, "group_id").select("group_id", "entry_id", "n")
 
 
-_JOINTS = "(select example_id, j from (select example_id, unnest(joints) as j from (select distinct on (example_id) * from shard_example)))"
+_JOINTS = "(select example_id, j from (select example_id, unnest(joints) as j from (select * from (select *, row_number() over (partition by example_id order by created_at desc) as rn from shard_example) where rn = 1)))"
 _SPAN = f"""case j.type when 1 then {2 * C.PI} when 0 then case when s < {4 * C.PI} then greatest(s, 0) when s is not null then {2 * C.PI} else 0 end when 2 then case when s > 0 then least(s, 10) else 0 end else 0 end"""
 
 
@@ -227,7 +227,7 @@ _SPAN = f"""case j.type when 1 then {2 * C.PI} when 0 then case when s < {4 * C.
 (select *, case when not isnan(j.lower) and not isnan(j.upper) then cast(j.upper as double) - cast(j.lower as double) end as s from {_JOINTS}) group by 1""")
 def joint_ranges(spark, sf):
     """Range of each example's joints, turning and sliding."""
-    x = read_table(spark, sf, "shard_example").select("example_id", "joints").dropDuplicates(["example_id"])
+    x = newest(read_table(spark, sf, "shard_example").select("example_id", "joints", "created_at"), "example_id", "created_at")
     j = x.select("example_id", F.explode("joints").alias("j"))
     span = C.joint_span(F.col("j.type"), F.col("j.lower").cast("double"), F.col("j.upper").cast("double"))
     turning = F.col("j.type").isin(C.JOINT_CODES["revolute"], C.JOINT_CODES["continuous"])
@@ -239,7 +239,7 @@ y as (select kind, kind = 1 or lo is null or hi is null or isnan(lo) or isnan(hi
 select kind, count(*) as n, count(*) filter (bad) as reset, round(sum(case when bad then {2 * C.PI} else h - l end), 2) as total from y group by 1""")
 def limit_clamp(spark, sf):
     """Limits of joints cut for sampling, by type."""
-    x = read_table(spark, sf, "shard_example").select("example_id", "joints").dropDuplicates(["example_id"]).select(F.explode("joints").alias("j"))
+    x = newest(read_table(spark, sf, "shard_example").select("example_id", "joints", "created_at"), "example_id", "created_at").select(F.explode("joints").alias("j"))
     lo, hi = F.col("j.lower").cast("double"), F.col("j.upper").cast("double")
     s = x.select(F.col("j.type").alias("kind"), C.sampling_limits(F.col("j.type"), lo, hi).alias("s"), lo.alias("lo"), hi.alias("hi"))
     reset = (F.col("s.lower") == -C.PI) & (F.col("s.upper") == C.PI) & ~F.coalesce((F.col("kind") != 1) & (F.col("lo") <= -C.PI) & (F.col("hi") >= C.PI), F.lit(False))

@@ -99,7 +99,7 @@ def markers_and_names(spark, sf):
     return read_table(spark, sf, "part").select("p_partkey", K.link_name(F.col("p_size") % 12).alias("link"), F.round(m[0], 6).alias("mx"), F.round(m[1], 6).alias("my"), F.round(ray[0] / ray[2], 6).alias("rx"), F.size(phys["effort"]).alias("joints"))
 
 
-@query("""with j as (select example_id, j.parent as parent, j.child as child from (select example_id, unnest(joints) as j from (select distinct on (example_id) * from shard_example)))
+@query("""with j as (select example_id, j.parent as parent, j.child as child from (select example_id, unnest(joints) as j from (select * from (select *, row_number() over (partition by example_id order by created_at desc) as rn from shard_example) where rn = 1)))
 select example_id, count(*) as joints, count(distinct parent) as parents, count(*) filter (parent not in (select c.child from j c where c.example_id = j.example_id)) as from_roots, max(k) <= 1 as serial from (select *, count(*) over (partition by example_id, parent) as k from j) j group by 1""")
 def chain_shapes(spark, sf):
     """Whether each example's joints form chains, and how many start at roots."""

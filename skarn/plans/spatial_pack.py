@@ -9,7 +9,7 @@ from skarn.operators import curves as G
 from skarn.operators import reports as R
 from skarn.operators import vectors as V
 from skarn.operators.neighbours import nearest
-from skarn.sources.tables import materialize, read_table
+from skarn.sources.tables import materialize, newest, read_table
 
 QUERIES, ORACLES = {}, {}
 
@@ -206,8 +206,8 @@ def crops(spark, sf):
 
 
 @query("""select example_id, cast(count(*) as bigint) as n, count(distinct p.label) as labels, count(*) filter (p.label < 0) as unlabelled, round(max(cast(p.x as double)) - min(cast(p.x as double)), 5) as ex
-from (select example_id, unnest(points) as p from (select distinct on (example_id) * from shard_example)) group by 1""")
+from (select example_id, unnest(points) as p from (select * from (select *, row_number() over (partition by example_id order by created_at desc) as rn from shard_example) where rn = 1)) group by 1""")
 def example_clouds(spark, sf):
     """Points, labels and extent of each example."""
-    x = read_table(spark, sf, "shard_example").select("example_id", "points").dropDuplicates(["example_id"]).select("example_id", F.explode("points").alias("p"))
+    x = newest(read_table(spark, sf, "shard_example").select("example_id", "points", "created_at"), "example_id", "created_at").select("example_id", F.explode("points").alias("p"))
     return x.groupBy("example_id").agg(F.count("*").alias("n"), F.countDistinct("p.label").alias("labels"), F.count_if(F.col("p.label") < 0).alias("unlabelled"), F.round(F.max(F.col("p.x").cast("double")) - F.min(F.col("p.x").cast("double")), 5).alias("ex"))
