@@ -15,7 +15,7 @@ from skarn.operators.catalog import entries, entry_groups
 from skarn.operators.graph import connected_components
 from skarn.operators.neighbours import nearest
 from skarn.operators.prefix import grouped_prefix
-from skarn.operators.prepare import group_split, merged_limits
+from skarn.operators.prepare import group_split, merged_limits, parent_by_stillness
 from skarn.operators.spelling import near_words
 from skarn.operators.units import common_units, length_unit, parse_unit, read_statement, scale_class
 from skarn.plans import frames_pack, relational_pack, spatial_pack
@@ -484,3 +484,34 @@ def test_fragments_follow_their_edges(spark):
     e = spark.createDataFrame([("m", 0, 1), ("m", 1, 2), ("m", 2, 3), ("m", 3, 4), ("m", 4, 5)], "mesh string, f1 bigint, f2 bigint")
     got = {(r.mesh, r.face): r.cleaned for r in estimate.cleaned_labels(l, e).collect()}
     assert got == {("m", f): x for f, x in enumerate(estimate.clean_fragments([0, 0, 1, 0, 1, 1], [(i, i + 1) for i in range(5)]))} | {("e", 0): 2}
+
+
+def test_parents_match_brute_force(spark):
+    rng = random.Random(4)
+    odd = lambda: rng.choice([None, float("nan"), float("inf"), -3.5, 0.0] + [rng.randint(-3, 4) * 0.125 for _ in range(12)])
+    cells = {(b % 3 if b != 50 else None, b, t, i): odd() for b in range(60) for t in (None, "a", "b", "c") for i in range(2) if rng.random() < 0.4}
+    cells |= {(0, 60, "z", 0): 1.0, (0, 63, "z", 0): None, (0, 63, "a", 0): 2.0, (1, 61, None, 0): 1.0, (0, None, "a", 0): 1.0}
+    rows = [(s, b, t, v) for (s, b, t, _), v in cells.items()]
+    spark.createDataFrame(rows, "s int, b bigint, t string, v double").createOrReplaceTempView("motion")
+    m = spark.table("motion")
+    want = spark.sql("""with p as (select s, b, round(sum(v), 2) as total from motion group by all), v as (select s, b, t, sum(v) as v from motion group by all),
+      d as (select a.b as child, o.b as parent, round(sum(x.v * y.v), 2) as dot from p a join p o on a.s = o.s and o.total < a.total join v x on x.b = a.b join v y on y.b = o.b and x.t = y.t group by all),
+      r as (select *, row_number() over (partition by child order by dot desc nulls last, parent) as rn from d)
+      select p.b, r.parent from p left join r on r.child = p.b and rn = 1""").collect()
+    for block in (7, 2048):
+        got = parent_by_stillness(m, "s", "b", "t", "v", block).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and sum(r.parent is not None for r in got) > 30
+    assert parent_by_stillness(m.limit(0), "s", "b", "t", "v").count() == 0
+
+
+def test_parents_write_no_pairs(spark):
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    m = spark.range(6000).select(F.lit(1).alias("s"), (F.col("id") % 2000).alias("b"), (F.col("id") % 3).alias("t"), (F.xxhash64("id") % 100000 / 100).alias("v"))
+    before = written()
+    assert parent_by_stillness(m, "s", "b", "t", "v").filter("parent is null").count() >= 1
+    assert written() - before < 2_000_000  # 2 million pairs would be more
